@@ -67,7 +67,3 @@ def ascii_lower(text: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
-
-def row_key(text: Column) -> list[Column]:
-    """128 bits that, with doc_id, identify a row's content: rows equal in both are one document."""
-    return [F.coalesce(F.xxhash64(text), F.lit(0)).alias("_k1"), F.coalesce(F.xxhash64(F.lit("second"), text), F.lit(0)).alias("_k2")]
