@@ -21,11 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again. The files go at the end of the application, or with drop()."""
+    """Write df as Parquet in the shared folder and read it again. The files go at the end of the application, or with drop().
+
+    Once the table is written, nothing needs the shuffle files behind it, so Spark is told to delete them then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _left[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path  # type: ignore[attr-defined]
