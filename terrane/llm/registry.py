@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, quality, secret_scan, substring_dedup, url_filters
+from . import byte_bpe, decontaminate, line_dedup, near_dedup, quality, secret_scan, substring_dedup, url_filters
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -41,6 +41,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components_of(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op5_quality_classifier, op6_suffix_array_dedup, op7_byte_bpe, op9_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op5_quality_classifier, op6_suffix_array_dedup, op7_byte_bpe, op8_minhash_near_dedup, op9_secret_scan, op10_decontamination)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES = {
