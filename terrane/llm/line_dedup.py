@@ -124,7 +124,8 @@ def delete_later_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         F.transform(F.sequence(F.lit(0), F.size("_ld_runs")), lambda i: F.struct(F.when(i == 0, 0).otherwise(F.element_at("_ld_runs", i)["b"]).alias("a"), F.when(i == F.size("_ld_runs"), F.size("_ld_lines")).otherwise(F.element_at("_ld_runs", i + 1)["a"]).alias("b"))),
         lambda x: x["a"] < x["b"],
     )
-    joined = _keyed(docs, id_col, text_col).join(per_doc, DOC, "left").withColumn("_ld_lines", F.when(F.col("_ld_runs").isNotNull(), lines))
+    # Merged whatever the size: a plan that changes with it would grow in steps.
+    joined = _keyed(docs, id_col, text_col).join(per_doc.hint("merge"), DOC, "left").withColumn("_ld_lines", F.when(F.col("_ld_runs").isNotNull(), lines))
     text = F.when(F.col("_ld_runs").isNull(), F.col("_ld_text")).otherwise(F.array_join(F.transform(kept, lambda x: F.array_join(F.slice("_ld_lines", x["a"] + 1, x["b"] - x["a"]), "\n")), "\n"))
     n_lines = F.when(F.col("_ld_text").isNull(), 0).otherwise(F.length("_ld_text") - F.length(F.replace("_ld_text", F.lit("\n"), F.lit(""))) + 1)
     figures = {"n_lines": n_lines.cast("long"), "n_removed": F.aggregate(runs_of, F.lit(0), lambda s, r: s + r["b"] - r["a"]).cast("long"), "n_runs": F.size(runs_of).cast("long")}
