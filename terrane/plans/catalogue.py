@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import coding, tags, text, tiles
 from ..model import OsmDataset, members, way_refs
 from ..operators import analyze, changes, enrich, extract, index
+from ..sources import files
 from .fixtures import BOX, BOX_SQL, TILE, ctes, dataset, table, view
 
 QUERIES: dict = {}
@@ -347,3 +348,38 @@ def string_codes(spark: SparkSession, d: str) -> DataFrame:
     own = F.filter("tags", lambda t: t["key"] != "building")
     strings = w.select(F.floor(F.col("id") / 8000).alias("block"), "id", F.posexplode(F.flatten(F.transform(own, lambda t: F.array(t["key"], t["value"])))).alias("p", "s"))
     return coding.string_codes(strings.withColumn("place", F.col("id") * 10 + F.col("p")), block=["block"], text="s", order="place")
+
+
+# ---- formats ----
+
+
+def _round_trip(spark: SparkSession, d: str, fmt: str) -> DataFrame:
+    """Entities of the extract, through the format and back."""
+    back = files.decode_bytes(spark, fmt, files.encode_bytes(extract.extract(dataset(spark, d), BOX), fmt))
+    n = back.nodes.select(F.lit("NODE").alias("kind"), "id", F.concat_ws(" ", "fixed_lat", "fixed_lon", text.tags_text(F.col("tags"))).alias("said"))
+    w = back.ways.select(F.lit("WAY").alias("kind"), "id", F.concat_ws(" ", F.concat_ws(",", F.col("nodes").cast("array<string>")), text.tags_text(F.col("tags"))).alias("said"))
+    r = back.relations.select(F.lit("RELATION").alias("kind"), "id", F.concat_ws(", ", F.transform("members", text.member_text)).alias("said"))
+    return n.unionByName(w).unionByName(r)
+
+
+_BACK = (
+    ctes(
+        _EXTRACTED,
+        _CLOSED,
+        "refs AS (SELECT way_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) AS said FROM way_refs GROUP BY 1)",
+        recursive=True,
+    )
+    + """SELECT 'NODE' AS kind, node_id AS id, fixed_lat || ' ' || fixed_lon || ' ' AS said FROM nodes WHERE node_id IN (SELECT node_id FROM way_refs WHERE way_id IN (SELECT way_id FROM ext_ways))
+ UNION ALL SELECT 'WAY', w.way_id, r.said || ' highway=' || highway || ';' || coalesce('building=' || building || ';', '') || 'name=' || name || ';' FROM ways w JOIN ext_ways USING (way_id) JOIN refs r ON r.way_id = w.way_id
+ UNION ALL SELECT 'RELATION', m.relation_id, string_agg(mtype || ' ' || member_id || CASE WHEN mrole <> '' THEN ' as ' || mrole ELSE '' END, ', ' ORDER BY mtype, member_id, mrole) FROM closed c JOIN members m ON m.relation_id = c.relation_id GROUP BY 2"""
+)
+
+
+@query(_BACK)
+def pbf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, "pbf")
+
+
+@query(_BACK)
+def vex_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, "vex")
