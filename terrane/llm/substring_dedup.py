@@ -202,7 +202,8 @@ def _wide(b: np.ndarray) -> np.ndarray:
 
 
 def _bucket(seed: np.ndarray, buckets: int) -> np.ndarray:
-    return ((seed >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    """Anchors are seeds of small hashes, so the hash is mixed again before it deals them."""
+    return ((_mix(seed + np.uint64(_base)) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def _rows(block: int, which: np.ndarray, buckets: np.ndarray, make) -> pa.RecordBatch:
