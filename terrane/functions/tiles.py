@@ -52,7 +52,8 @@ def tile_of(lat: float, lon: float, zoom: int = ZOOM) -> tuple[int, int]:
     """One point's tile, for plans whose box is known; latitudes beyond the projection are clamped."""
     lat = min(MAX_LAT, max(-MAX_LAT, lat))
     r, n = math.radians(lat), 1 << zoom
-    return math.floor((lon + 180) / 360 * n), math.floor((1 - math.log(math.tan(r) + 1 / math.cos(r)) / math.pi) / 2 * n)
+    y = math.floor((1 - math.log(math.tan(r) + 1 / math.cos(r)) / math.pi) / 2 * n)
+    return math.floor((lon + 180) / 360 * n), min(max(y, 0), n - 1)
 
 
 def tile_range(min_lat: float, min_lon: float, max_lat: float, max_lon: float) -> tuple[int, int, int, int]:

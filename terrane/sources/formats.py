@@ -44,6 +44,9 @@ class _Reader(DataSourceReader):
         raise NotImplementedError
 
     def read(self, partition):
+        if partition is None:  # no blocks: Spark still asks once
+            return
+
         def kept():
             for e in self._entities(partition):
                 yield e if self.keys is None else (*e[:-1], [t for t in e[-1] if t[0] in self.keys])
