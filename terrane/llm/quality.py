@@ -180,7 +180,7 @@ class CoTrained:
 
 
 def _columns(docs: DataFrame) -> list:
-    return [column_or_null(docs, "text", "string").alias("_text"), column_or_null(docs, "lang", "string").alias("_lang"), column_or_null(docs, "source", "string").alias("_source"), column_or_null(docs, "n_chars", "long").alias("_n")]
+    return [column_or_null(docs, "text", "string").alias("_qc_text"), column_or_null(docs, "lang", "string").alias("_qc_lang"), column_or_null(docs, "source", "string").alias("_qc_source"), column_or_null(docs, "n_chars", "long").alias("_qc_n")]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(*x) for x in zip(*(b.column(c).to_pylist() for c in ("_text", "_lang", "_source", "_n")))]
+            got = [features(*x) for x in zip(*(b.column(c).to_pylist() for c in ("_qc_text", "_qc_lang", "_qc_source", "_qc_n")))]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_quality"), b.column("_toxic"), pa.array([w.tobytes() for w, _ in got], pa.binary()), pa.array([f.tobytes() for _, f in got], pa.binary())], names=["id", "quality", "toxic", "words", "figures"])
 
     got = rows.mapInArrow(run, "id long, quality double, toxic double, words binary, figures binary").toArrow().sort_by("id")
@@ -216,7 +216,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.score(*features(*x)) for x in zip(*(b.column(c).to_pylist() for c in ("_text", "_lang", "_source", "_n")))]
+            got = [model.score(*features(*x)) for x in zip(*(b.column(c).to_pylist() for c in ("_qc_text", "_qc_lang", "_qc_source", "_qc_n")))]
             q, t = [x[0] for x in got], [x[1] for x in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.float64()), pa.array(t, pa.float64()), pa.array([a * (1 - c) for a, c in got], pa.float64()), pa.array([a >= 0.5 and c < 0.5 for a, c in got], pa.bool_())], names=["doc_id", "p_quality", "p_toxic", "score", "keep"])
 
