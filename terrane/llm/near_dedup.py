@@ -5,12 +5,12 @@ value flips one bit. The bits that differ between two sketches say how many valu
 is known closely where it is high. Texts with the same set of shingles are one class from here on, and the classes' members
 come back at the end: copies are never paired.
 
-Classes that share a band are candidates. Pairs are not listed: in each band one class, the centre, is held against the
+Classes that share a band are candidates. Pairs are not listed: in each band two classes, the centres, are held against the
 others; pairs whose lengths or sketches rule a link out (SLACK below the limit, over six standard deviations) leave;
 the rest are confirmed on the full sets, streamed by centre in chunks. Linked classes are one component from then on.
-Rounds with other centres go over bands in which more than one component is left. After ROUNDS of them, the pairs of
-different components that a band still holds, and sketches still allow, are confirmed one by one, so no candidate goes
-untried. A pair at the limit shares no band with a probability of (1 - 0.85**4)**24, 2e-8.
+Where a band still holds more than one component after ROUNDS rounds, its classes are gathered in clusters, cut into chunks; a task
+holds two chunks and compares what is in different components, sketches first, then full sets. So no candidate goes untried,
+and no pair becomes a row. A pair at the limit shares no band with a probability of (1 - 0.85**4)**24, 2e-8.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a row with a null doc_id is linked
 with nothing, is its own component (null) and is kept; rows with one doc_id and one text are one document, and with
@@ -37,7 +37,8 @@ MINIMA = BANDS * ROWS
 SKETCH = 8  # 64-bit words of an odd sketch
 SLACK = 0.23
 CHUNK = 256  # classes that one task holds against a centre at a time
-ROUNDS = 4
+HELD = 4_000_000  # shingles of a chunk, about
+ROUNDS = 1
 
 _rng = np.random.default_rng(8)
 _times, _plus = (_rng.integers(1, 1 << 62, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -128,6 +129,69 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by cluster and pair of chunks: all classes of different components are held against each other in memory."""
+
+    def links(rows: list[tuple], lo: int, hi: int) -> tuple[list[int], list[int]]:
+        kept = []
+        for chunk, id_, component, s1, sketch, text in rows:
+            own = shingles(text)
+            if int(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)[0]) == s1:
+                kept.append((chunk, id_, component, np.array(sketch, np.int64).view(np.uint64), own))
+        us, vs = [], []
+        if len(kept) < 2:
+            return us, vs
+        chunks, part = np.array([k[0] for k in kept]), np.array([k[2] for k in kept])
+        sketches, sizes = np.array([k[3] for k in kept]), np.array([len(k[4]) for k in kept])
+        for i in range(len(kept) - 1):
+            rest = slice(i + 1, None)
+            differ = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)
+            likely = 1 + 64 * SKETCH / 4 / MINIMA * np.log(np.maximum(1 - 2 * differ / (64 * SKETCH), 1e-9))
+            fits = (100 * np.minimum(sizes[rest], sizes[i]) >= SIMILAR * np.maximum(sizes[rest], sizes[i])) & (likely >= SIMILAR / 100 - SLACK)
+            if lo != hi:
+                fits &= chunks[rest] != chunks[i]
+            for j in np.flatnonzero(fits) + i + 1:
+                if part[j] == part[i]:
+                    continue
+                common = len(np.intersect1d(kept[i][4], kept[j][4], assume_unique=True))
+                if 100 * common >= SIMILAR * (sizes[i] + sizes[j] - common):
+                    us.append(kept[i][1])
+                    vs.append(kept[j][1])
+                    part[part == part[j]] = part[i]
+        return us, vs
+
+    now, rows = None, []
+    for batch in batches:
+        us, vs = [], []
+        for cluster, lo, hi, chunk, id_, component, s1, sketch, text in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            if (cluster, lo, hi) != now:
+                if rows:
+                    u, v = links(rows, *now[1:])
+                    us, vs = us + u, vs + v
+                now, rows = (cluster, lo, hi), []
+            rows.append((chunk, id_, component, s1, sketch, text))
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    if rows:
+        u, v = links(rows, *now[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _searched(open_: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components that share a band. Classes that bands connect are a cluster, cut into chunks; a task
+    gets two chunks, so a class's text goes to as many tasks as its cluster has chunks, and no pair is ever a row."""
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = open_.groupBy("band", "value").agg(F.min("id").alias("v"))
+    found = components(open_.join(least, ["band", "value"]).where("id <> v").select(F.col("id").alias("u"), "v"))
+    members = open_.select("id", "component").distinct().join(found.withColumnRenamed("u", "id"), "id", "left").withColumn("cluster", F.coalesce("v", "id")).drop("v").join(near, "id")
+    chunks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / HELD)).alias("chunks"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("cluster", "chunks")
+    dealt = members.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    placed = stash(dealt.select("cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "component", "sketch"), "near-chunks")
+    rows = placed.join(texts, placed["id"] == texts["cid"]).select("cluster", "lo", "hi", "chunk", "id", "component", "s1", "sketch", "text")
+    out = stash(rows.repartition(parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "id").mapInArrow(_search, "u long, v long"), "near-links")
+    drop(placed, found)
+    return out
+
+
 def _possible(x: str, y: str) -> F.Column:
     """Whether lengths and sketches allow a link."""
     differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
@@ -200,16 +264,14 @@ def components_of(docs: DataFrame) -> DataFrame:
                 drop(open_)
                 break
         if turn < ROUNDS:
-            # Centres differ between rounds, and bands take turns, so that a class meets a few centres in a round.
-            order = F.xxhash64("id", F.lit(turn), F.col("band") % 2) if turn else F.col("id")
-            centres = open_.groupBy("band", "value").agg(F.min_by(F.struct("id", "component"), order).alias("c"))
-            pairs = open_.join(centres, ["band", "value"]).where("c.component <> component").select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+            # Two centres in a band, other ones each round; bands take turns, so that a class meets a few in a round.
+            orders = [F.xxhash64("id", F.lit(2 * turn + i), F.col("band") % 2) if turn or i else F.col("id") for i in (0, 1)]
+            centres = open_.groupBy("band", "value").agg(*(F.min_by(F.struct("id", "component"), o).alias(f"c{i}") for i, o in enumerate(orders)))
+            met = open_.join(centres, ["band", "value"]).select("id", "component", F.explode(F.array_distinct(F.array("c0", "c1"))).alias("c"))
+            pairs = met.where("c.component <> component").select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+            links.append(_confirmed(allowed(pairs), texts))
         else:
-            other = open_.select("band", "value", F.col("id").alias("b"), F.col("component").alias("_of_b"))
-            left = open_.join(near, "id").select("band", "value", F.col("id").alias("a"), F.col("component").alias("_of_a"), F.struct("n", "sketch").alias("x"))
-            right = other.join(near, other["b"] == near["id"]).select("band", "value", "b", "_of_b", F.struct("n", "sketch").alias("y"))
-            pairs = left.join(right, ["band", "value"]).where((F.col("_of_a") < F.col("_of_b")) & _possible("x", "y")).select("a", "b").distinct()
-        links.append(_confirmed(allowed(pairs), texts))
+            links.append(_searched(open_, near, texts))
         if labels is not None:
             drop(labels, open_)
         labels = stash(_labels(links), "components")
