@@ -40,7 +40,7 @@ from .scratch import drop, stash
 
 WINDOW, SEED = 50, 20
 LEFT = WINDOW - SEED
-BLOCK, SEGMENT = 16 << 20, 1 << 20  # bytes of text in a block; bytes hashed at a time
+BLOCK, SEGMENT = 8 << 20, 1 << 18  # bytes of text in a block; bytes hashed at a time
 BUCKET = 4 << 20  # bytes of text for each bucket of anchors
 LAST = np.iinfo(np.int64).max
 LOW40 = np.uint64((1 << 40) - 1)
@@ -433,8 +433,22 @@ def _result(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_bytes, spans (removed runs of bytes, end exclusive) and kept (the other bytes)."""
+    spark = docs.sparkSession
+    # Rows are large here, so fewer of them go to a worker at a time.
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(BLOCK))
+    try:
+        return _remove_repeats(docs)
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def _remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
