@@ -41,7 +41,7 @@ from .scratch import drop, stash
 WINDOW, SEED = 50, 20
 LEFT = WINDOW - SEED
 BLOCK, SEGMENT = 8 << 20, 1 << 18  # bytes of text in a block; bytes hashed at a time
-BUCKET = 4 << 20  # bytes of text for each bucket of anchors
+BUCKET = 1 << 20  # bytes of text for each bucket of anchors; small sorts stay in the cache
 LAST = np.iinfo(np.int64).max
 LOW40 = np.uint64((1 << 40) - 1)
 
