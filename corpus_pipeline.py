@@ -2,7 +2,7 @@
 
 quality      documents that the classifier finds poor or toxic go
 lines        later copies of repeated line runs go; a document with no line left goes too
-near         of each group of near-duplicates the least doc_id stays
+near         of each group of near-duplicates (SIMILAR percent of their word shingles) the least doc_id stays
 benchmark    documents contaminated by benchmark items go
 tokens       byte-level BPE: number of ids and digests of what is left
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from terrane.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality
 from terrane.llm.scratch import stash
 
+SIMILAR = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -29,7 +31,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, similar=SIMILAR)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""MinHash near-dedup with odd sketches: documents whose word shingles overlap in SIMILAR percent or more are linked.
+"""MinHash near-dedup with odd sketches: documents whose word shingles overlap in `similar` percent or more are linked
+(SIMILAR unless the caller names another share).
 
 Every text is read once for its signature: MINIMA MinHash values in bands of ROWS, and an odd sketch, a bitmap in which each
 value flips one bit. The bits that differ between two sketches say how many values differ, so that a pair's similarity
@@ -6,11 +7,11 @@ is known closely where it is high. Texts with the same set of shingles are one c
 come back at the end: copies are never paired.
 
 Classes that share a band are candidates. Pairs are not listed: in each band two classes, the centres, are held against the
-others; pairs whose lengths or sketches rule a link out (SLACK below the limit, over six standard deviations) leave;
+others; pairs whose lengths or sketches rule a link out (SLACK standard deviations below the limit) leave;
 the rest are confirmed on the full sets, streamed by centre in chunks. Linked classes are one component from then on.
 Where a band still holds more than one component after ROUNDS rounds, its classes are gathered in clusters, cut into chunks; a task
 holds two chunks and compares what is in different components, sketches first, then full sets. So no candidate goes untried,
-and no pair becomes a row. A pair at the limit shares no band with a probability of (1 - 0.85**4)**24, 2e-8.
+and no pair becomes a row. A pair at the limit shares no band with a probability of (1 - 0.85**4)**24, 2e-8; 3e-6 at 0.8.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a row with a null doc_id is linked
 with nothing, is its own component (null) and is kept; rows with one doc_id and one text are one document, and with
@@ -21,6 +22,7 @@ and kept by keep_one.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ WORDS, SIMILAR = 5, 85
 BANDS, ROWS = 24, 4
 MINIMA = BANDS * ROWS
 SKETCH = 8  # 64-bit words of an odd sketch
-SLACK = 0.23
+SLACK = 6.32
 CHUNK = 256  # classes that one task holds against a centre at a time
 HELD = 4_000_000  # shingles of a chunk, about
 ROUNDS = 1
@@ -45,6 +47,12 @@ _times, _plus = (_rng.integers(1, 1 << 62, MINIMA, dtype=np.uint64) * np.uint64(
 _place = _rng.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _least_likely(similar: int) -> float:
+    """The similarity that a sketch must show: SLACK standard deviations of MINIMA draws under the limit."""
+    limit = similar / 100
+    return limit - SLACK * math.sqrt(limit * (1 - limit) / MINIMA)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
@@ -106,77 +114,84 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(ids, sets)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(similar: int):
     """Rows come by centre and chunk, the centre first; columns a, chunk, role, b, s1, text."""
-    now, centre = None, None
-    for batch in batches:
-        us, vs = [], []
-        for a, chunk, role, b, s1, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if role == 0 and now == (a, chunk) and centre is not None:
-                continue
-            own = shingles(text)
-            if int(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)[0]) != s1:
-                continue  # another text of the same doc_id
-            if role == 0:
-                now, centre = (a, chunk), own
-                continue
-            if now != (a, chunk) or centre is None:
-                continue
-            common = len(np.intersect1d(centre, own, assume_unique=True))
-            if 100 * common >= SIMILAR * (len(centre) + len(own) - common):
-                us.append(a)
-                vs.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by cluster and pair of chunks: all classes of different components are held against each other in memory."""
 
-    def links(rows: list[tuple], lo: int, hi: int) -> tuple[list[int], list[int]]:
-        kept = []
-        for chunk, id_, component, s1, sketch, text in rows:
-            own = shingles(text)
-            if int(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)[0]) == s1:
-                kept.append((chunk, id_, component, np.array(sketch, np.int64).view(np.uint64), own))
-        us, vs = [], []
-        if len(kept) < 2:
-            return us, vs
-        chunks, part = np.array([k[0] for k in kept]), np.array([k[2] for k in kept])
-        sketches, sizes = np.array([k[3] for k in kept]), np.array([len(k[4]) for k in kept])
-        for i in range(len(kept) - 1):
-            rest = slice(i + 1, None)
-            differ = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)
-            likely = 1 + 64 * SKETCH / 4 / MINIMA * np.log(np.maximum(1 - 2 * differ / (64 * SKETCH), 1e-9))
-            fits = (100 * np.minimum(sizes[rest], sizes[i]) >= SIMILAR * np.maximum(sizes[rest], sizes[i])) & (likely >= SIMILAR / 100 - SLACK)
-            if lo != hi:
-                fits &= chunks[rest] != chunks[i]
-            for j in np.flatnonzero(fits) + i + 1:
-                if part[j] == part[i]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre = None, None
+        for batch in batches:
+            us, vs = [], []
+            for a, chunk, role, b, s1, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if role == 0 and now == (a, chunk) and centre is not None:
                     continue
-                common = len(np.intersect1d(kept[i][4], kept[j][4], assume_unique=True))
-                if 100 * common >= SIMILAR * (sizes[i] + sizes[j] - common):
-                    us.append(kept[i][1])
-                    vs.append(kept[j][1])
-                    part[part == part[j]] = part[i]
-        return us, vs
-
-    now, rows = None, []
-    for batch in batches:
-        us, vs = [], []
-        for cluster, lo, hi, chunk, id_, component, s1, sketch, text in zip(*(batch.column(i).to_pylist() for i in range(9))):
-            if (cluster, lo, hi) != now:
-                if rows:
-                    u, v = links(rows, *now[1:])
-                    us, vs = us + u, vs + v
-                now, rows = (cluster, lo, hi), []
-            rows.append((chunk, id_, component, s1, sketch, text))
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-    if rows:
-        u, v = links(rows, *now[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-
-def _searched(open_: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+                own = shingles(text)
+                if int(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)[0]) != s1:
+                    continue  # another text of the same doc_id
+                if role == 0:
+                    now, centre = (a, chunk), own
+                    continue
+                if now != (a, chunk) or centre is None:
+                    continue
+                common = len(np.intersect1d(centre, own, assume_unique=True))
+                if 100 * common >= similar * (len(centre) + len(own) - common):
+                    us.append(a)
+                    vs.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _search(similar: int):
+    """Rows come by cluster and pair of chunks: all classes of different components are held against each other in memory."""
+    least = _least_likely(similar)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: list[tuple], lo: int, hi: int) -> tuple[list[int], list[int]]:
+            kept = []
+            for chunk, id_, component, s1, sketch, text in rows:
+                own = shingles(text)
+                if int(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)[0]) == s1:
+                    kept.append((chunk, id_, component, np.array(sketch, np.int64).view(np.uint64), own))
+            us, vs = [], []
+            if len(kept) < 2:
+                return us, vs
+            chunks, part = np.array([k[0] for k in kept]), np.array([k[2] for k in kept])
+            sketches, sizes = np.array([k[3] for k in kept]), np.array([len(k[4]) for k in kept])
+            for i in range(len(kept) - 1):
+                rest = slice(i + 1, None)
+                differ = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)
+                likely = 1 + 64 * SKETCH / 4 / MINIMA * np.log(np.maximum(1 - 2 * differ / (64 * SKETCH), 1e-9))
+                fits = (100 * np.minimum(sizes[rest], sizes[i]) >= similar * np.maximum(sizes[rest], sizes[i])) & (likely >= least)
+                if lo != hi:
+                    fits &= chunks[rest] != chunks[i]
+                for j in np.flatnonzero(fits) + i + 1:
+                    if part[j] == part[i]:
+                        continue
+                    common = len(np.intersect1d(kept[i][4], kept[j][4], assume_unique=True))
+                    if 100 * common >= similar * (sizes[i] + sizes[j] - common):
+                        us.append(kept[i][1])
+                        vs.append(kept[j][1])
+                        part[part == part[j]] = part[i]
+            return us, vs
+
+        now, rows = None, []
+        for batch in batches:
+            us, vs = [], []
+            for cluster, lo, hi, chunk, id_, component, s1, sketch, text in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if (cluster, lo, hi) != now:
+                    if rows:
+                        u, v = links(rows, *now[1:])
+                        us, vs = us + u, vs + v
+                    now, rows = (cluster, lo, hi), []
+                rows.append((chunk, id_, component, s1, sketch, text))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        if rows:
+            u, v = links(rows, *now[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _searched(open_: DataFrame, near: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     """Links between different components that share a band. Classes that bands connect are a cluster, cut into chunks; a task
     gets two chunks, so a class's text goes to as many tasks as its cluster has chunks, and no pair is ever a row."""
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -187,22 +202,22 @@ def _searched(open_: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = members.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     placed = stash(dealt.select("cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "component", "sketch"), "near-chunks")
     rows = placed.join(texts, placed["id"] == texts["cid"]).select("cluster", "lo", "hi", "chunk", "id", "component", "s1", "sketch", "text")
-    out = stash(rows.repartition(parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "id").mapInArrow(_search, "u long, v long"), "near-links")
+    out = stash(rows.repartition(parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "id").mapInArrow(_search(similar), "u long, v long"), "near-links")
     drop(placed, found)
     return out
 
 
-def _possible(x: str, y: str) -> F.Column:
+def _possible(x: str, y: str, similar: int) -> F.Column:
     """Whether lengths and sketches allow a link."""
     differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
     bits = 64 * SKETCH
     share = F.greatest(1 - 2 * differ / bits, F.lit(1e-9))
     likely = 1 + F.lit(bits / 4 / MINIMA) * F.log(share)
     low, high = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")), F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))
-    return (100 * low >= SIMILAR * high) & (likely >= SIMILAR / 100 - SLACK)
+    return (100 * low >= similar * high) & (likely >= _least_likely(similar))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     """pairs: a, b (classes). Those that are linked, as u, v."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -210,7 +225,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = stash(pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")), "near-pairs")
     wanted = dealt.select("a", "chunk", F.lit(1).alias("role"), "b").unionByName(dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b")))
     rows = wanted.join(texts, wanted["b"] == texts["cid"]).select("a", "chunk", "role", "b", "s1", "text")
-    out = stash(rows.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(_confirm, "u long, v long"), "near-links")
+    out = stash(rows.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(_confirm(similar), "u long, v long"), "near-links")
     drop(dealt)
     return out
 
@@ -228,7 +243,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     return stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"), "signatures")
 
 
-def components_of(docs: DataFrame) -> DataFrame:
+def components_of(docs: DataFrame, *, similar: int = SIMILAR) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, class_id."""
     signed = _classes(docs)
     classes = stash(signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
@@ -249,7 +264,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     def allowed(pairs: DataFrame) -> DataFrame:
         """Pairs that lengths and sketches allow."""
         x, y = near.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x")), near.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(_possible("x", "y")).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(_possible("x", "y", similar)).select("a", "b")
 
     links: list[DataFrame] = []
     labels = None
@@ -269,9 +284,9 @@ def components_of(docs: DataFrame) -> DataFrame:
             centres = open_.groupBy("band", "value").agg(*(F.min_by(F.struct("id", "component"), o).alias(f"c{i}") for i, o in enumerate(orders)))
             met = open_.join(centres, ["band", "value"]).select("id", "component", F.explode(F.array_distinct(F.array("c0", "c1"))).alias("c"))
             pairs = met.where("c.component <> component").select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
-            links.append(_confirmed(allowed(pairs), texts))
+            links.append(_confirmed(allowed(pairs), texts, similar))
         else:
-            links.append(_searched(open_, near, texts))
+            links.append(_searched(open_, near, texts, similar))
         if labels is not None:
             drop(labels, open_)
         labels = stash(_labels(links), "components")
@@ -286,8 +301,8 @@ def components_of(docs: DataFrame) -> DataFrame:
     return out
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, *, similar: int = SIMILAR) -> DataFrame:
     """The rows of documents that are the least of their component, with all their columns. A document that is a row repeated stays once more for each row."""
-    found = components_of(docs)
+    found = components_of(docs, similar=similar)
     gone = found.where("not kept").select("doc_id").distinct()
     return docs.join(gone.withColumnRenamed("doc_id", "_nd_gone"), F.col("doc_id").cast("long") == F.col("_nd_gone"), "left_anti")

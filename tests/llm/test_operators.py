@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terrane.llm import byte_bpe, components, decontaminate, line_dedup, lm_score, near_dedup, neighbours, quality, secret_scan, substring_dedup, url_filters
 
 from . import brute
@@ -211,6 +212,25 @@ def test_near_dedup_of_a_chain(spark):
     assert near_dedup.components_of(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_at_80(spark):
+    """Pairs between 0.80 and 0.85 are linked at 80, as in the pipeline, and not at 85."""
+    r = random.Random(8)
+    rows = []
+    for c, swaps in enumerate([0, 1, 2, 2, 3, 3, 4, 5]):
+        doc = [r.choice(WORDS) for _ in range(150)]
+        other = list(doc)
+        for j in range(swaps):
+            other[10 + 25 * j] = "swapped"
+        rows += [(10 * c, " ".join(doc)), (10 * c + 1, " ".join(other))]
+    docs = frame(spark, rows)
+    least = {s: [i for i, _, _, k in brute.near(rows, s) if k] for s in (80, 85)}
+    assert len(least[80]) < len(least[85])
+    for s in (80, 85):
+        got = near_dedup.components_of(docs, similar=s).select("doc_id", "n_shingles", "component_id", "kept").collect()
+        same(got, brute.near(rows, s))
+    assert sorted(q["doc_id"] for q in corpus_pipeline.near_stage(spark, docs, "").collect()) == least[80]
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(60)] + [(100, 200), (200, 150), (-5, -9)]
     got = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
