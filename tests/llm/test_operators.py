@@ -60,6 +60,18 @@ def test_line_dedup(spark, corpus):
     assert line_dedup.delete_later_copies(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_maximal_runs(spark):
+    """Runs whose windows have their first places in different documents, against the longest earlier match of each line."""
+    a, b, c, d = "a" * 40, "b" * 30, "c" * 40, "d" * 20
+    rows = [(1, f"{a}\n{b}\nx"), (2, f"{b}\n{c}\ny"), (3, f"{a}\n{b}\n{c}"), (4, f"z\n{a}\n{b}\n{c}\n{d}"), (5, f"{d}\n{a}\n{b}\n{c}")]
+    r = random.Random(3)
+    rows += [(10 + i, "\n".join(r.choice(["", "e" * 15, "f" * 30, "g" * 45, "h" * 99, "i" * 100]) for _ in range(r.randrange(1, 30)))) for i in range(15)]
+    want = brute.maximal_line_dedup(rows, 100)
+    assert want[3] == f"z\n{d}" and want[4] == d
+    got = line_dedup.delete_later_copies(frame(spark, rows)).select("doc_id", "text").collect()
+    same(got, [(i, t) for (i, _), t in zip(rows, want)])
+
+
 def test_url_filters(spark):
     rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("com", "/en/7/x", "block"), ("com", "", "allow"), ("dup.org", "/", "allow"), ("dup.org", "/", "block"), (None, "/", "block")], "host string, path string, verdict string")
     urls = [None, "", "no scheme", "http://A.Example.COM/en/70?x#y", "http://com/en/", "http://xcom/en/", "http://b.com/en/7/xy", "https://example.com/fr", "ftp://dup.org/", "http://dup.org", "http://é.com/en/7", "x://y.example.com:80/en/7", "http://b.com/en/7/xy"]
