@@ -99,6 +99,18 @@ def test_lm_scores(spark, corpus):
     assert lm_score.score_documents(frame(spark, [])).count() == 0
 
 
+def test_lm_scores_have_one_formula(spark, monkeypatch):
+    """How many words travel to all tasks does not change a score: repeats of rare words count their own chance too."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(WORDS[:12]) for _ in range(60))) for i in range(12)] + [(50, "only only only here here")]
+    scores = []
+    for frequent in (1000, 3):
+        monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+        scores.append({q["doc_id"]: q["score"] for q in lm_score.score_documents(frame(spark, rows, parts=1)).collect()})
+    assert max(abs(scores[0][i] - scores[1][i]) for i in range(12)) < 1e-6
+    assert abs(scores[0][50] - scores[1][50]) < 1e-6
+
+
 def test_spelling_probabilities_add_up():
     """A mixer that has learned nothing, and one that has: the chances of all next bytes sum to one."""
     tables = [np.zeros((2, 1 << b), np.uint16) for b in lm_score.BITS]
