@@ -15,8 +15,8 @@ and no pair becomes a row. A pair at the limit shares no band with a probability
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a row with a null doc_id is linked
 with nothing, is its own component (null) and is kept; rows with one doc_id and one text are one document, and with
-different texts different documents; an empty table gives an empty result. Extra columns are ignored by components_of
-and kept by keep_one.
+different texts different documents; an empty table gives an empty result. keep_one judges each of them by its own
+group. Extra columns are ignored by components_of and kept by keep_one.
 """
 
 from __future__ import annotations
@@ -76,9 +76,9 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "s1", "s2", "bands", "sketch"]
+    names = ["doc_id", "n", "s1", "s2", "bands", "sketch", "t1", "t2"]
 
-    def out(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def out(ids: list, texts: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets])
         some = np.flatnonzero(sizes)
         bands, sketch = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), SKETCH), np.uint64)
@@ -99,19 +99,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch[some] = np.packbits(flat & 1, axis=1).view(np.uint64)
         marks = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
         lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.view(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([int(m[0]) for m in marks], pa.int64()), pa.array([int(m[1]) for m in marks], pa.int64()), lists(bands), lists(sketch)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([int(m[0]) for m in marks], pa.int64()), pa.array([int(m[1]) for m in marks], pa.int64()), lists(bands), lists(sketch), *(pa.array([t[k] for t in texts], pa.int64()) for k in (0, 1))], names=names)
 
     for batch in batches:
-        ids, sets, size = [], [], 0
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids, texts, sets, size = [], [], [], 0
+        for i, text, *marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             ids.append(i)
+            texts.append(marks)
             sets.append(shingles(text.as_py()))
             size += len(sets[-1])
             if size > 200_000:
-                yield out(ids, sets)
-                ids, sets, size = [], [], 0
+                yield out(ids, texts, sets)
+                ids, texts, sets, size = [], [], [], 0
         if ids:
-            yield out(ids, sets)
+            yield out(ids, texts, sets)
 
 
 def _confirm(similar: int):
@@ -238,9 +239,15 @@ def _labels(links: list[DataFrame]) -> DataFrame:
     return components(edges).select(F.col("u").alias("cid"), F.col("v").alias("component"))
 
 
+def _marks() -> list[F.Column]:
+    """Two hashes that tell a text from others of its doc_id."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
 def _classes(docs: DataFrame) -> DataFrame:
     """Signature of every row."""
-    return stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"), "signatures")
+    return stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_marks()).mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>, t1 long, t2 long"), "signatures")
 
 
 def components_of(docs: DataFrame, *, similar: int = SIMILAR) -> DataFrame:
@@ -294,9 +301,9 @@ def components_of(docs: DataFrame, *, similar: int = SIMILAR) -> DataFrame:
     # Ids of components are ids of classes: the least doc_id among the classes is what counts.
     named = stash(least.join(least.groupBy("component").agg(F.min("cid").alias("component_id")), "component").select("s1", "s2", "component_id", F.col("cid").alias("class_id")), "named-classes")
     own = F.when(F.col("n") > 0, F.col("component_id"))
-    rows = signed.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    rows = signed.select("doc_id", "n", "s1", "s2", "t1", "t2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce(own, F.col("doc_id")))
-    out = stash(rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "s1", "s2"), "near-components")
+    out = stash(rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "s1", "s2", "t1", "t2"), "near-components")
     drop(signed, classes, bucket, near, texts, labels, named, *links)
     return out
 
@@ -304,5 +311,6 @@ def components_of(docs: DataFrame, *, similar: int = SIMILAR) -> DataFrame:
 def keep_one(docs: DataFrame, *, similar: int = SIMILAR) -> DataFrame:
     """The rows of documents that are the least of their component, with all their columns. A document that is a row repeated stays once more for each row."""
     found = components_of(docs, similar=similar)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_nd_gone"), F.col("doc_id").cast("long") == F.col("_nd_gone"), "left_anti")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_nd_gone"), F.col("t1").alias("_nd_t1"), F.col("t2").alias("_nd_t2")).distinct()
+    same = [F.col("doc_id").cast("long") == F.col("_nd_gone"), *(m == F.col(c) for m, c in zip(_marks(), ("_nd_t1", "_nd_t2")))]
+    return docs.join(gone, same, "left_anti")

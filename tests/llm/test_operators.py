@@ -236,6 +236,15 @@ def test_near_dedup_of_a_chain(spark):
     assert near_dedup.components_of(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Of two texts with one doc_id, one goes as a copy and the other stays for its group."""
+    a, b = " ".join(WORDS[:30]), " ".join(WORDS[50:90])
+    rows = [(3, a), (5, a), (5, b), (9, b), (5, b), (None, a)]
+    kept = near_dedup.keep_one(frame(spark, rows)).select("doc_id", "text").collect()
+    same(kept, [r for r, n in zip(rows, brute.near(rows)) if n[3]])
+    assert (5, b) in [tuple(q) for q in kept] and (5, a) not in [tuple(q) for q in kept]
+
+
 def test_near_dedup_at_80(spark):
     """Pairs between 0.80 and 0.85 are linked at 80, as in the pipeline, and not at 85."""
     r = random.Random(8)
