@@ -6,14 +6,18 @@ that fewest documents have. Rarity is counted over the whole corpus, among the b
 these rarest words are candidates; the word's place in its window and the document's length bound where the window
 can lie (positional and length filter); and each candidate is verified word for word on the document.
 
-Word counts are summed before their shuffle. The benchmark's words are joined as an ordinary equi-join: the planner
-broadcasts them if they are below its limit, and sorts and merges beyond. Places that hold no rarest word
-leave before anything is shuffled by document.
+Word counts are summed in tasks before their shuffle, so a frequent word costs one row a task. The benchmark's words go to
+all tasks as a filter where they take SENT bytes at most, as counted; beyond, the sums meet them in a sort-merge join.
+Places that hold no rarest word leave before anything is shuffled by document. Texts with candidates are split once, and
+dealt in stretches of STRETCH words, so a text of any length costs in proportion and no row holds all its candidates.
+
+clean drops more than judge calls contaminated: also every document with a whole window of WINDOW words, however long
+the document is, as a passage is a passage. Windows of shorter items (down to one common word) tell by their share alone.
 
 Defined results: null text has no words; such documents, and empty ones, are not contaminated; items without words
 have no windows; items that share a window all count; rows equal in doc_id and text are one document, and each gets
 its result; rows with one item_id each give their windows to it, and a null item_id is written as an empty string;
-an empty table gives no hits. Extra columns are ignored by judge, and kept by clean.
+an empty table gives no hits. Extra columns are ignored by judge, and kept by clean, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["_dc_null", "_dc_doc", "_dc_k1", "_dc_k2"]
 STRETCH = 4096  # words; candidates are gathered by stretches of a document
+SENT = 8 << 20  # bytes of words that may travel to all tasks
 
 
 def words_of(text: Column) -> Column:
@@ -42,16 +47,31 @@ def _windows(items: DataFrame, item_col: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """The row as _row, its key and its text."""
     text = F.col("text").cast("string")
-    return docs.withColumns({"_dc_null": F.col("doc_id").isNull(), "_dc_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_dc_k1": F.coalesce(F.xxhash64(text), F.lit(0)), "_dc_k2": F.coalesce(F.xxhash64(F.lit("second"), text), F.lit(0)), "_dc_text": text})
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col("doc_id").isNull().alias("_dc_null"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_dc_doc"),
+        F.coalesce(F.xxhash64(text), F.lit(0)).alias("_dc_k1"),
+        F.coalesce(F.xxhash64(F.lit("second"), text), F.lit(0)).alias("_dc_k2"),
+        text.alias("_dc_text"),
+    )
+
+
+def _only(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows whose _word is among words, if these may travel; else all rows, for the join that follows to tell."""
+    size = words.agg(F.coalesce(F.sum(F.octet_length("_word") + 16), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(words), "_word", "left_semi") if size <= SENT else rows
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Key of a document, start (a word's place, from 0) and window, for each occurrence. windows: _window, distinct."""
     keyed = _keyed(docs.select("doc_id", "text")).select(*KEY, "_dc_text")
     split = keyed.select(*KEY, words_of(F.col("_dc_text")).alias("_words"))
-    vocabulary = windows.select(F.explode("_window").alias("_word")).distinct()
-    rarity = stash(split.select(F.explode("_words").alias("_word")).join(vocabulary, "_word", "left_semi").groupBy("_word").agg(F.count(F.lit(1)).alias("_n")), "word-rarity")
+    vocabulary = stash(windows.select(F.explode("_window").alias("_word")).distinct(), "benchmark-words")
+    summed = _only(split.select(F.explode("_words").alias("_word")), vocabulary).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    rarity = stash(summed.join(vocabulary, "_word", "left_semi"), "word-rarity")
 
     # The prefix of a window: its rarest word. A window with a word that no document has is nowhere.
     spread = windows.select("_window", F.posexplode("_window").alias("_at", "_word")).dropDuplicates(["_window", "_word"])
@@ -64,27 +84,29 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         "window-prefixes",
     )
     # Places of prefix words; where the window would lie must be inside the document.
-    places = split.select(*KEY, F.size("_words").alias("_len"), F.posexplode("_words").alias("_pos", "_word")).join(prefixes.select("_word").distinct(), "_word", "left_semi")
+    places = _only(split.select(*KEY, F.size("_words").alias("_len"), F.posexplode("_words").alias("_pos", "_word")), prefixes.select("_word").distinct())
     candidates = (
         places.join(prefixes, "_word")
         .where((F.col("_pos") >= F.col("_at")) & (F.col("_pos") - F.col("_at") + F.size("_window") <= F.col("_len")))
         .select(*KEY, (F.col("_pos") - F.col("_at")).alias("_start"), "_window")
     )
-    # Candidates of a stretch of a document meet its text, which is split once for all of them.
-    by_doc = stash(candidates.groupBy(*KEY, F.floor(F.col("_start") / STRETCH).alias("_stretch")).agg(F.collect_set(F.struct("_start", "_window")).alias("_c")), "window-candidates")
+    by_stretch = stash(candidates.groupBy(*KEY, F.floor(F.col("_start") / STRETCH).cast("int").alias("_stretch")).agg(F.collect_set(F.struct("_start", "_window")).alias("_c")), "window-candidates")
+    # A stretch holds its own words and those that a window may reach beyond it.
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / STRETCH).cast("int")), lambda i: F.slice("_words", i * STRETCH + 1, STRETCH + WINDOW - 1))
+    stretches = split.where("size(_words) > 0").join(by_stretch.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, F.posexplode(parts).alias("_stretch", "_part"))
+    at = lambda c: c["_start"] - F.col("_stretch") * STRETCH + 1
     found = (
-        by_doc.join(keyed, KEY)
-        .withColumn("_words", words_of(F.col("_dc_text")))
-        .select(*KEY, F.explode(F.filter("_c", lambda c: F.slice(F.col("_words"), c["_start"] + 1, F.size(c["_window"])) == c["_window"])).alias("_h"))
+        by_stretch.join(stretches, [*KEY, "_stretch"])
+        .select(*KEY, F.explode(F.filter("_c", lambda c: F.slice(F.col("_part"), at(c), F.size(c["_window"])) == c["_window"])).alias("_h"))
         .select(*KEY, "_h._start", "_h._window")
     )
     out = stash(found.distinct(), "window-hits")
-    drop(rarity, prefixes, by_doc)
+    drop(vocabulary, rarity, prefixes, by_stretch)
     return out
 
 
 def figures(docs: DataFrame, items: DataFrame, item_col: str = "item_id") -> DataFrame:
-    """For each document with hits: its key, n_hit, n_items, items_sha256."""
+    """For each document with hits: its key, n_hit, whether a hit is WINDOW words long, n_items, items_sha256."""
     owned = stash(_windows(items, item_col), "benchmark-windows")
     hits = occurrences(docs, owned.select("_window").distinct())
     w = Window.partitionBy(*KEY).orderBy("_start", "_end")
@@ -92,7 +114,7 @@ def figures(docs: DataFrame, items: DataFrame, item_col: str = "item_id") -> Dat
         hits.select(*KEY, "_start", (F.col("_start") + F.size("_window")).alias("_end"))
         .withColumn("_before", F.coalesce(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .groupBy(*KEY)
-        .agg(F.sum(F.greatest(F.col("_end") - F.greatest("_start", "_before"), F.lit(0))).alias("n_hit"))
+        .agg(F.sum(F.greatest(F.col("_end") - F.greatest("_start", "_before"), F.lit(0))).alias("n_hit"), (F.max(F.col("_end") - F.col("_start")) >= WINDOW).alias("whole"))
     )
     of_items = (
         hits.select(*KEY, "_window").distinct().join(owned, "_window").groupBy(*KEY).agg(F.array_sort(F.collect_set("_item")).alias("_items"))
@@ -104,14 +126,14 @@ def figures(docs: DataFrame, items: DataFrame, item_col: str = "item_id") -> Dat
 def _judged(docs: DataFrame, items: DataFrame, item_col: str) -> DataFrame:
     keyed = _keyed(docs).withColumn("_dc_n", F.size(words_of(F.col("_dc_text"))).cast("long")).drop("_dc_text")
     hit = F.coalesce("_dc_f.n_hit", F.lit(0))
-    found = figures(docs, items, item_col).select(*KEY, F.struct("n_hit", "n_items", "items_sha256").alias("_dc_f"))
+    found = figures(docs, items, item_col).select(*KEY, F.struct("n_hit", "whole", "n_items", "items_sha256").alias("_dc_f"))
     return keyed.join(found, KEY, "left").withColumn("_dc_bad", (hit > 0) & (20 * hit >= F.col("_dc_n")))
 
 
 def judge(docs: DataFrame, items: DataFrame, *, item_col: str = "item_id") -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     return _judged(docs.select("doc_id", "text"), items, item_col).select(
-        F.col("doc_id").cast("long"),
+        F.col("_row.doc_id").cast("long").alias("doc_id"),
         F.col("_dc_n").alias("n_words"),
         F.coalesce("_dc_f.n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("_dc_f.n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -121,5 +143,5 @@ def judge(docs: DataFrame, items: DataFrame, *, item_col: str = "item_id") -> Da
 
 
 def clean(docs: DataFrame, items: DataFrame, *, item_col: str = "item_id") -> DataFrame:
-    """The rows of documents that are not contaminated, with all their columns."""
-    return _judged(docs, items, item_col).where(~F.col("_dc_bad")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of documents that are not contaminated and hold no whole window of WINDOW words, with all their columns."""
+    return _judged(docs, items, item_col).where(~F.col("_dc_bad") & ~F.coalesce("_dc_f.whole", F.lit(False))).select(*[F.col(f"_row.`{c}`") for c in docs.columns])

@@ -298,6 +298,25 @@ def test_decontamination(spark, corpus):
     want = brute.contamination(rows, items)
     same(got.collect(), want)
     left = decontaminate.clean(docs, it)
-    assert left.columns == docs.columns and left.count() == sum(not w[-1] for w in want)
+    whole = brute.whole_windows(rows, items)
+    assert left.columns == docs.columns and left.count() == sum(not (w[-1] or x) for w, x in zip(want, whole))
     assert decontaminate.judge(docs.limit(0), it).count() == 0
     assert decontaminate.judge(docs, it.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_of_long_texts(spark, monkeypatch):
+    """Passages at and across the borders of stretches, in texts so long that the passage is a small share; and without a filter of words."""
+    monkeypatch.setattr(decontaminate, "STRETCH", 50)
+    r = random.Random(6)
+    words = [f"w{i:03d}" for i in range(200)]
+    items = [("p", " ".join(words[:15])), ("q", words[3]), ("r", " ".join(words[3:5]))]
+    rows = [(i, " ".join([*(r.choice(words) for _ in range(at)), *words[: 15 if i % 3 else 12], *(r.choice(words) for _ in range(3000))])) for i, at in enumerate([0, 30, 36, 37, 38, 49, 50, 51, 99, 700])]
+    docs, it = frame(spark, rows).withColumns({"_dc_n": F.lit(7), "_row": F.lit("r"), "_dc_bad": F.lit(1)}), spark.createDataFrame(items, "item_id string, text string")
+    want = brute.contamination(rows, items)
+    for sent in (decontaminate.SENT, -1):
+        monkeypatch.setattr(decontaminate, "SENT", sent)
+        same(decontaminate.judge(docs, it).collect(), want)
+    left = decontaminate.clean(docs, it).collect()
+    assert not any(w[-1] for w in want)
+    assert sorted(q["doc_id"] for q in left) == [i for (i, _), x in zip(rows, brute.whole_windows(rows, items)) if not x] == [0, 3, 6, 9]
+    assert {(q["_dc_n"], q["_row"], q["_dc_bad"]) for q in left} == {(7, "r", 1)}

@@ -18,10 +18,11 @@ def test_run(spark):
     keep = {r["doc_id"] for r in quality.score_documents(docs, labels).where("keep").collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in keep]
     assert len(rows) > 100
-    texts = brute.line_dedup(rows, line_dedup.MIN_CHARS)
+    texts = brute.maximal_line_dedup(rows, line_dedup.MIN_CHARS)
     rows = [(i, t) for (i, was), t in zip(rows, texts) if t == was or t]
-    rows = [r for r, n in zip(rows, brute.near(rows)) if n[3]]
-    rows = [r for r, c in zip(rows, brute.contamination(rows, [(r["item_id"], r["text"]) for r in items.collect()])) if not c[-1]]
+    rows = [r for r, n in zip(rows, brute.near(rows, corpus_pipeline.SIMILAR)) if n[3]]
+    questions = [(r["item_id"], r["text"]) for r in items.collect()]
+    rows = [r for r, c, whole in zip(rows, brute.contamination(rows, questions), brute.whole_windows(rows, questions)) if not (c[-1] or whole)]
     got = corpus_pipeline.run(spark, DIR).collect()
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in got) == sorted((i, brute.sha(t)) for i, t in rows)
 
