@@ -310,7 +310,7 @@ def test_decontamination_of_long_texts(spark, monkeypatch):
     r = random.Random(6)
     words = [f"w{i:03d}" for i in range(200)]
     items = [("p", " ".join(words[:15])), ("q", words[3]), ("r", " ".join(words[3:5]))]
-    rows = [(i, " ".join([*(r.choice(words) for _ in range(at)), *words[: 15 if i % 3 else 12], *(r.choice(words) for _ in range(3000))])) for i, at in enumerate([0, 30, 36, 37, 38, 49, 50, 51, 99, 700])]
+    rows = [(i, " ".join([*(r.choice(words) for _ in range(at)), *words[: 15 if i % 3 else 12], "other", *(r.choice(words) for _ in range(3000))])) for i, at in enumerate([0, 30, 36, 37, 38, 49, 50, 51, 99, 700])]
     docs, it = frame(spark, rows).withColumns({"_dc_n": F.lit(7), "_row": F.lit("r"), "_dc_bad": F.lit(1)}), spark.createDataFrame(items, "item_id string, text string")
     want = brute.contamination(rows, items)
     for sent in (decontaminate.SENT, -1):
