@@ -8,8 +8,8 @@ can lie (positional and length filter); and each candidate is verified word for
 
 Word counts are summed in tasks before their shuffle, so a frequent word costs one row a task. The benchmark's words go to
 all tasks as a filter where they take SENT bytes at most, as counted; beyond, the sums meet them in a sort-merge join.
-Places that hold no rarest word leave before anything is shuffled by document. Texts with candidates are split once, and
-dealt in stretches of STRETCH words, so a text of any length costs in proportion and no row holds all its candidates.
+Places that hold no rarest word leave before anything is shuffled by document. A text with candidates is split once for
+each stretch of STRETCH words that holds some, so that no row holds all candidates of a very long text.
 
 clean drops more than judge calls contaminated: also every document with a whole window of WINDOW words, however long
 the document is, as a passage is a passage. Windows of shorter items (down to one common word) tell by their share alone.
@@ -30,7 +30,7 @@ from .scratch import ascii_lower, drop, stash
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["_dc_null", "_dc_doc", "_dc_k1", "_dc_k2"]
-STRETCH = 4096  # words; candidates are gathered by stretches of a document
+STRETCH = 1 << 18  # words; candidates are gathered by stretches of a document
 SENT = 8 << 20  # bytes of words that may travel to all tasks
 
 
@@ -90,14 +90,12 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         .where((F.col("_pos") >= F.col("_at")) & (F.col("_pos") - F.col("_at") + F.size("_window") <= F.col("_len")))
         .select(*KEY, (F.col("_pos") - F.col("_at")).alias("_start"), "_window")
     )
-    by_stretch = stash(candidates.groupBy(*KEY, F.floor(F.col("_start") / STRETCH).cast("int").alias("_stretch")).agg(F.collect_set(F.struct("_start", "_window")).alias("_c")), "window-candidates")
-    # A stretch holds its own words and those that a window may reach beyond it.
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / STRETCH).cast("int")), lambda i: F.slice("_words", i * STRETCH + 1, STRETCH + WINDOW - 1))
-    stretches = split.where("size(_words) > 0").join(by_stretch.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, F.posexplode(parts).alias("_stretch", "_part"))
-    at = lambda c: c["_start"] - F.col("_stretch") * STRETCH + 1
+    # Candidates of a stretch meet the text of their document, which moves as text and is split once for all of them.
+    by_stretch = stash(candidates.groupBy(*KEY, F.floor(F.col("_start") / STRETCH).alias("_stretch")).agg(F.collect_set(F.struct("_start", "_window")).alias("_c")), "window-candidates")
     found = (
-        by_stretch.join(stretches, [*KEY, "_stretch"])
-        .select(*KEY, F.explode(F.filter("_c", lambda c: F.slice(F.col("_part"), at(c), F.size(c["_window"])) == c["_window"])).alias("_h"))
+        by_stretch.join(keyed, KEY)
+        .withColumn("_words", words_of(F.col("_dc_text")))
+        .select(*KEY, F.explode(F.filter("_c", lambda c: F.slice(F.col("_words"), c["_start"] + 1, F.size(c["_window"])) == c["_window"])).alias("_h"))
         .select(*KEY, "_h._start", "_h._window")
     )
     out = stash(found.distinct(), "window-hits")
