@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -149,11 +150,47 @@ def test_neighbours(spark):
         assert all(abs(s - p[v]) < 1e-9 for _, v, s in near)
         found += len({v for _, v, _ in near} & set(order))
     assert found / (20 * len(by)) >= 0.95
+    # Vector 100 has 39 equals, which only the long vector can beat; the smallest ids of them are its nearest.
+    for q in (100, 120):
+        assert [v for _, v, _ in by[q] if v != 7] == [i for i in range(100, 140) if i != q][: 20 - (7 in {v for _, v, _ in by[q]})]
+        assert len({s for _, v, s in by[q] if v != 7}) == 1
     few = neighbours.search(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
     assert [tuple(q) for q in few] == [(0, 1, 1, 2.0)]
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("block", [100, 4000])
+def test_neighbours_at_the_edges(spark, block):
+    """Very large and very small components, a hot group of equal vectors, rows that share an id, repeated rows."""
+    r = np.random.default_rng(2)
+    hot = r.standard_normal(5)
+    rows = [(i, hot.tolist()) for i in range(1000, 2000)] + [(i, r.standard_normal(5).tolist()) for i in range(0, 300)]
+    rows += [(4000, [1e200, -1e200, 0.0, 0.0, 1.0]), (4020, [1e-200, 0.0, -1e-200, 0.0, 0.0]), (4040, [1e200] * 5), (4041, [-1e200] * 5)]
+    rows += [(4060, hot.tolist()), (4060, (2 * hot).tolist()), (4060, hot.tolist()), (4061, [0.0, -0.0, 0.0, 0.0, 3.0])]
+    got = collections.defaultdict(list)
+    for q in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, block=block).collect():
+        got[q["query_id"]].append((q["rank"], q["vec_id"], q["score"]))
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    ids, x = np.array([i for i, _ in distinct]), np.array([v for _, v in distinct])
+
+    def best(i, v):
+        p = neighbours.products(x, np.repeat([v], len(x), axis=0))
+        order = np.lexsort((ids, -np.nan_to_num(p, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.isnan(p)))
+        return [(int(ids[j]), float(p[j])) for j in order if not (ids[j] == i and (x[j] == v).all())][:20]
+
+    found = total = 0
+    for i in {i for i, _ in distinct if i % 20 == 0} - {4060}:
+        want = best(i, np.array(next(v for j, v in distinct if j == i)))
+        near = [(v, s) for _, v, s in sorted(got[i])]
+        assert len(near) == 20
+        found, total = found + sum(repr(a) == repr(b) for a, b in zip(near, want)), total + 20
+    assert found / total >= 0.97
+    for i in (1000, 1500, 1980):
+        assert repr([(v, s) for _, v, s in sorted(got[i])]) == repr(best(i, hot))
+    assert len(got[4060]) == 40  # two queries
+    assert {v for _, v, s in got[4040] if s == math.inf} == {v for v, s in best(4040, np.array([1e200] * 5)) if s == math.inf}
+
+
 def test_quality(spark):
     r = random.Random(2)
     docs, labels = [], []
