@@ -3,10 +3,17 @@
 quality      documents that the classifier finds poor or toxic go
 lines        later copies of repeated line runs go; a document with no line left goes too
 near         of each group of near-duplicates (SIMILAR percent of their word shingles) the least doc_id stays
-benchmark    documents contaminated by benchmark items go
+benchmark    documents contaminated by benchmark items go, and all that hold 13 consecutive words of an item, however long they are
 tokens       byte-level BPE: number of ids and digests of what is left
 
-All stages but the last return the columns of documents. n_chars follows the text where lines go.
+All stages but the last return the columns of documents, whatever others there are. n_chars, where there is one, follows the text
+where lines go.
+
+Defined results: a null text is an empty one to the classifier, and goes or stays by its verdict; it has no lines, copies or
+benchmark words, and no tokens at the end; empty texts alike. Rows repeated are judged alike, and stay or go together, but for near
+copies, where a document that is a row repeated stays once more for each row. A null doc_id is never a copy, and its lines come
+last. Of equal lines and near copies the smallest doc_id stays, ties by a hash of the text. Very long texts are whole rows in every
+stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +32,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.delete_later_copies(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return left.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
+    told = "_" * (1 + max(map(len, docs.columns)))  # no column of docs
+    left = line_dedup.delete_later_copies(docs, figures=told)
+    n_lines, n_removed = F.col(f"{told}.n_lines"), F.col(f"{told}.n_removed")
+    left = left.where((n_removed == 0) | (n_removed < n_lines))
+    if "n_chars" in docs.columns:
+        n_chars = F.when(n_removed > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", n_chars)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ adaptive planner splits where one line is very common.
 
 Defined results: null text has no lines and stays null; empty lines are lines of no characters; rows equal in doc_id
 and text are one document, and each gets its result; a null doc_id comes last; ties in doc_id go by the text's hash;
-an empty table gives an empty result. Extra columns are kept, whatever their names but those starting with _ld_.
+an empty table gives an empty result. Extra columns are kept, whatever their names; the figures are one struct column, which
+takes the place of a column of its name. A very long text is one row of lines; its stretches are windows over its own lines.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ DOC = PLACE[:-1]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row as _ld_row, its key and its text."""
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.withColumns(
-        {
-            "_ld_null": F.col(f"`{id_col}`").isNull(),
-            "_ld_doc": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)),
-            "_ld_k1": F.coalesce(F.xxhash64(text), F.lit(0)),
-            "_ld_k2": F.coalesce(F.xxhash64(F.lit("second"), text), F.lit(0)),
-            "_ld_text": text,
-        }
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_ld_row"),
+        F.col(f"`{id_col}`").isNull().alias("_ld_null"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("_ld_doc"),
+        F.coalesce(F.xxhash64(text), F.lit(0)).alias("_ld_k1"),
+        F.coalesce(F.xxhash64(F.lit("second"), text), F.lit(0)).alias("_ld_k2"),
+        text.alias("_ld_text"),
     )
 
 
@@ -120,8 +121,8 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
-def delete_later_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Every row with what is left of its text, and n_lines, n_removed (lines) and n_runs."""
+def delete_later_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, figures: str = "line_figures") -> DataFrame:
+    """Every row with what is left of its text, and a struct column: n_lines, n_removed (lines) and n_runs."""
     runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
     per_doc = runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct(F.col("_ld_from").alias("a"), F.col("_ld_until").alias("b")))).alias("_ld_runs"))
     lines = F.split("_ld_text", "\n", -1)
@@ -135,6 +136,5 @@ def delete_later_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     joined = _keyed(docs, id_col, text_col).join(per_doc.hint("merge"), DOC, "left").withColumn("_ld_lines", F.when(F.col("_ld_runs").isNotNull(), lines))
     text = F.when(F.col("_ld_runs").isNull(), F.col("_ld_text")).otherwise(F.array_join(F.transform(kept, lambda x: F.array_join(F.slice("_ld_lines", x["a"] + 1, x["b"] - x["a"]), "\n")), "\n"))
     n_lines = F.when(F.col("_ld_text").isNull(), 0).otherwise(F.length("_ld_text") - F.length(F.replace("_ld_text", F.lit("\n"), F.lit(""))) + 1)
-    figures = {"n_lines": n_lines.cast("long"), "n_removed": F.aggregate(runs_of, F.lit(0), lambda s, r: s + r["b"] - r["a"]).cast("long"), "n_runs": F.size(runs_of).cast("long")}
-    mine = [c for c in docs.columns if c not in figures]
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in mine], *(c.alias(n) for n, c in figures.items()))
+    told = F.struct(n_lines.cast("long").alias("n_lines"), F.aggregate(runs_of, F.lit(0), lambda s, r: s + r["b"] - r["a"]).cast("long").alias("n_removed"), F.size(runs_of).cast("long").alias("n_runs"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"_ld_row.`{c}`") for c in docs.columns if c != figures], told.alias(figures))
