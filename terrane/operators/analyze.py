@@ -33,6 +33,31 @@ def cardinality(ids: DataFrame, column: str) -> DataFrame:
     return id_bitmaps(ids, column).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("long").alias("n"))
 
 
+class IdSet:
+    """A set of ids, kept as bitmaps. mark() says of each row whether its id is inside; a subclass may decide otherwise."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.bitmaps = id_bitmaps(ids.where(F.col(column).isNotNull()), column)
+
+    def mark(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        # A bitmap's lowest bit is the lowest place of its byte.
+        place = F.bitmap_bit_position(column)
+        byte = F.conv(F.hex(F.substring(F.col("_is.bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        told = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+        sets = self.bitmaps.select(F.col("bucket").alias("_bucket"), F.struct("bits").alias("_is"))
+        return df.join(sets, F.bitmap_bucket_number(column) == F.col("_bucket"), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != out], told.alias(out))
+
+
+class EveryId(IdSet):
+    """The set that holds every id."""
+
+    def __init__(self):
+        pass
+
+    def mark(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        return df.withColumn(out, F.col(column).isNotNull())
+
+
 def relation_index(relations: DataFrame, kind: str) -> DataFrame:
     """member_id, relation_id of one type of member, as a set."""
     return members(relations).where(F.col("type") == kind).select("member_id", "relation_id").distinct()

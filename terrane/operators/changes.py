@@ -32,6 +32,11 @@ def apply_changes(ds: OsmDataset, changes: DataFrame, timestamp: int | None = No
     return OsmDataset(nodes, ways, relations, meta)
 
 
+def applied_counts(changes: DataFrame) -> DataFrame:
+    """How many changes are applied, by type and op: all of them, also those that a later one overtakes."""
+    return changes.where("id is not null and id >= 0").groupBy("type", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
 def reindexed(before: DataFrame, after: DataFrame) -> DataFrame:
     """Ways whose tile is another after a change: xtile, ytile, way_id as they are now."""
     old = before.select("way_id", F.struct("xtile", "ytile").alias("_old"))

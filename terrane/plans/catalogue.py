@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coding, tags, text, tiles
-from ..model import OsmDataset, members, way_refs
+from ..model import MEMBERS, TAGS, OsmDataset, members, way_refs
 from ..operators import analyze, changes, enrich, extract, index
 from ..sources import files
 from .fixtures import BOX, BOX_SQL, TILE, ctes, dataset, table, view
@@ -242,11 +242,11 @@ def extract_relations(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract(dataset(spark, d), BOX).relations.select("id", F.size("members").cast("long").alias("n_members"))
 
 
-@query(ctes("direct AS (SELECT DISTINCT relation_id FROM members WHERE mtype = 'WAY' AND member_id % 100 = 0)", _CLOSED, recursive=True) + "SELECT relation_id FROM closed")
+@query(ctes("direct AS (SELECT DISTINCT relation_id FROM members WHERE mtype = 'WAY' AND member_id IN (SELECT way_id FROM ext_ways))", _CLOSED, recursive=True) + "SELECT relation_id FROM closed")
 def relation_closure(spark: SparkSession, d: str) -> DataFrame:
-    r = dataset(spark, d).relations
-    start = members(r).where("type = 'WAY' AND member_id % 100 = 0").select("relation_id")
-    return extract.parents(r, start)
+    ds = dataset(spark, d)
+    ways = extract.extract_ways(ds, BOX).select(F.col("id").alias("member_id"))
+    return extract.parents(ds.relations, members(ds.relations).where("type = 'WAY'").join(ways, "member_id", "left_semi").select("relation_id"))
 
 
 @query(ctes() + "SELECT CAST(row_number() OVER (ORDER BY xtile, ytile, way_id) AS BIGINT) AS place, way_id AS id FROM ext_ways JOIN tile_index USING (way_id)")
@@ -289,6 +289,50 @@ def last_changes(spark: SparkSession, d: str) -> DataFrame:
     return changes.last_changes(node_changes(spark, d)).select("id", "op")
 
 
+def _changed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    return spark.createDataFrame([], changes.CHANGES).unionByName(rows, allowMissingColumns=True)
+
+
+@query(
+    ctes("r AS (SELECT way_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) AS refs, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos DESC) AS back FROM way_refs GROUP BY 1)")
+    + "SELECT w.way_id AS id, CASE WHEN highway = 'urgent' THEN back ELSE refs END AS refs, CASE WHEN highway = 'urgent' THEN 'oneway=-1;' ELSE 'highway=' || highway || ';name=' || name || ';' END AS tags FROM ways w JOIN r ON r.way_id = w.way_id WHERE building IS NULL"
+)
+def apply_changes_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings are deleted; urgent ways are turned round, with other tags."""
+    ds = dataset(spark, d)
+    urgent = tags.has_tag(F.col("tags"), "highway", "urgent")
+    gone = tags.has_tag(F.col("tags"), "building")
+    turned = F.array(tags.tag("oneway", F.lit("-1"))).cast(TAGS)
+    rows = ds.ways.where(urgent | gone).select(F.lit(1).cast("long").alias("seq"), F.lit(0).cast("long").alias("ord"), F.when(gone, "delete").otherwise("upsert").alias("op"), F.lit("WAY").alias("type"), "id", F.reverse("nodes").alias("nodes"), turned.alias("tags"))
+    after = changes.apply_changes(ds, _changed(spark, rows)).ways
+    return after.select("id", F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("refs"), text.tags_text(F.col("tags")).alias("tags"))
+
+
+@query(
+    ctes("kept AS (SELECT relation_id, string_agg(mtype || ' ' || member_id || CASE WHEN mrole <> '' THEN ' as ' || mrole ELSE '' END, ', ' ORDER BY mtype, member_id, mrole) AS said FROM members WHERE relation_id < 2000000000 GROUP BY 1)")
+    + "SELECT relation_id AS id, said FROM kept UNION ALL SELECT DISTINCT relation_id, 'NODE 99999 as seat, RELATION ' || relation_id FROM members WHERE relation_id >= 2000000000 AND relation_id < 3000000000"
+)
+def apply_changes_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of regions are deleted; those of nations get other members."""
+    ds = dataset(spark, d)
+    other = F.array(F.struct(F.lit("NODE").alias("type"), F.lit(99999).cast("long").alias("id"), F.lit("seat").alias("role")), F.struct(F.lit("RELATION").alias("type"), F.col("id").alias("id"), F.lit("").alias("role"))).cast(MEMBERS)
+    rows = ds.relations.where("id >= 2000000000").select(F.lit(1).cast("long").alias("seq"), F.lit(0).cast("long").alias("ord"), F.when(F.col("id") >= 3000000000, "delete").otherwise("upsert").alias("op"), F.lit("RELATION").alias("type"), "id", other.alias("members"), "tags")
+    after = changes.apply_changes(ds, _changed(spark, rows)).relations
+    return after.select("id", F.concat_ws(", ", F.transform("members", text.member_text)).alias("said"))
+
+
+@query("SELECT 'NODE' AS type, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, count(*) AS n FROM events GROUP BY 1, 2")
+def applied_counts(spark: SparkSession, d: str) -> DataFrame:
+    return changes.applied_counts(node_changes(spark, d))
+
+
+@query(ctes() + "SELECT node_id AS id, node_id IN (SELECT r.node_id FROM way_refs r JOIN ways w ON w.way_id = r.way_id WHERE building IS NULL) AS inside, true AS every FROM nodes")
+def bitmap_contains(spark: SparkSession, d: str) -> DataFrame:
+    ds = dataset(spark, d)
+    found = analyze.IdSet(analyze.referenced_nodes(ds.ways), "node_id").mark(ds.nodes.select("id"), "id", "inside")
+    return analyze.EveryId().mark(found, "id", "every")
+
+
 _MOVED = f"moved AS (SELECT w.way_id, {TILE['x'].format(lon='(n.fixed_lon / 1e7)')} AS xtile, {TILE['y'].format(lat='((n.fixed_lat + CASE WHEN n.node_id % 17 = 0 THEN 500000 ELSE 0 END) / 1e7)')} AS ytile FROM ways w JOIN way_refs r ON r.way_id = w.way_id AND r.pos = 0 JOIN nodes n ON n.node_id = r.node_id)"
 
 
@@ -317,9 +361,9 @@ def pending_diffs(spark: SparkSession, d: str) -> DataFrame:
 # ---- enrichment and codes ----
 
 
-@query(ctes("s AS (SELECT l_orderkey AS way_id, max(l_quantity) AS speed FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)") + "SELECT w.way_id AS id, CASE WHEN s.speed IS NOT NULL THEN CAST(CAST(s.speed AS INT) AS VARCHAR) || '.0 kph' END AS speed FROM ways w LEFT JOIN s ON s.way_id = w.way_id")
+@query(ctes("s AS (SELECT l_orderkey AS way_id, max(l_quantity) AS speed FROM lineitem GROUP BY 1)") + "SELECT w.way_id AS id, CASE WHEN s.speed IS NOT NULL THEN CAST(CAST(s.speed AS INT) AS VARCHAR) || '.0 kph' END AS speed FROM ways w LEFT JOIN s ON s.way_id = w.way_id")
 def speed_update(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    lines = table(spark, d, "lineitem")
     # The last row of an id wins, so the largest comes last.
     speeds = lines.select(F.col("l_orderkey").alias("way_id"), F.col("l_quantity").alias("speed"), F.col("l_quantity").alias("line")).unionByName(spark.createDataFrame([(-5, 30.0, 1.0)], "way_id bigint, speed double, line double"))
     return enrich.set_speeds(dataset(spark, d).ways, speeds).select("id", tags.get_tag(F.col("tags"), "maxspeed:motorcar").alias("speed"))

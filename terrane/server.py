@@ -1,4 +1,4 @@
-"""Extracts over HTTP: /minLat,minLon,maxLat,maxLon.pbf (or .vex, .txt)."""
+"""Extracts over HTTP: /south,west,north,east.pbf (or .vex, .txt)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from .operators.store import load, load_index
 from .sources.files import suffix, write_to
 
 PORT = 9002
-USAGE = "URI format: /min_lat,min_lon,max_lat,max_lon.pbf (or .vex, .txt), in decimal degrees\n"
+USAGE = "Ask for /south,west,north,east.pbf (or .vex, .txt), in degrees.\n"
 
 
 def serve(spark, path: str, port: int = PORT) -> ThreadingHTTPServer:

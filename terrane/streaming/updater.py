@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import os
+import re
 import tempfile
 import time
 import urllib.error
@@ -45,8 +46,12 @@ def fetch_from(base: str) -> Fetch:
                     return f.read()
             with open(at, "rb") as f:
                 return f.read()
-        except (FileNotFoundError, urllib.error.HTTPError):
+        except FileNotFoundError:
             return None
+        except urllib.error.HTTPError as e:
+            if e.code == 404:
+                return None
+            raise  # a server's fault is not an empty folder
 
     return fetch
 
@@ -136,6 +141,15 @@ def poll(spark: SparkSession, path: str, fetch: Fetch, *, turns: int | None = No
             sleep(max(0.0, 60 - (time.time() - began)))
 
 
+def _state_beside(spark: SparkSession, diff: str) -> int | None:
+    """Timestamp of the state file that lies beside a diff; None, which leaves the store's as it is, without one."""
+    name = re.sub(r"\.osc(\.gz)?$", ".state.txt", diff)
+    where = spark._jvm.org.apache.hadoop.fs.Path(name)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return parse_state(bytes(spark.read.format("binaryFile").load(name).first()["content"]).decode())[0]
+
+
 def stream_changes(spark: SparkSession, folder: str, path: str, checkpoint: str, *, once: bool = False, every: str = "60 seconds"):
     """Diff files that appear in a folder, applied as they come: a streaming query. A batch that is run again changes nothing, as upserts and deletes are the same twice."""
     files = (
@@ -157,7 +171,8 @@ def stream_changes(spark: SparkSession, folder: str, path: str, checkpoint: str,
         if last and fresh and fresh != list(range(last + 1, last + 1 + len(fresh))):
             raise LookupError(f"diffs {fresh} do not follow {last}")
         if fresh:
-            advance(spark, path, changes_of(batch).where(F.col("seq") > last), None, fresh[-1])
+            newest = next(n for n in names if sequence_of(n) == fresh[-1])
+            advance(spark, path, changes_of(batch).where(F.col("seq") > last), _state_beside(spark, newest), fresh[-1])
 
     writer = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -134,7 +134,59 @@ def test_stream(spark, data, tmp_path):
         q.awaitTermination()
         assert q.exception() is None
     now = store.load(spark, path)
-    assert ids(now.nodes) == [1, 2, 3, 4] and now.meta.first()["sequence_number"] == 7
+    assert ids(now.nodes) == [1, 2, 3, 4] and tuple(now.meta.first()) == (1600000120, 7)
+
+
+def test_id_sets(spark):
+    """Marks against a set, at the borders of bytes and buckets; negative ids too."""
+    held = {1, 2, 7, 8, 9, 32768, 32769, 65536, 10**12, -5, -32768}
+    s = analyze.IdSet(spark.createDataFrame([(i,) for i in held] + [(None,), (7,)], "x long"), "x")
+    asked = spark.createDataFrame([(i,) for h in held for i in (h - 1, h, h + 1)] + [(None,)], "id long")
+    assert all(r["inside"] == (r["id"] in held) for r in s.mark(asked, "id", "inside").collect())
+    assert analyze.EveryId().mark(asked, "id", "inside").where("not inside").collect() == [(None, False)]
+
+
+def test_sink(data):
+    from terrane.sources.sink import EntitySink, send
+
+    said = []
+
+    class Counts(EntitySink):
+        def begin(self, ds):
+            said.append(ds.timestamp())
+
+        def ways(self, ways):
+            said.append(ways.count())
+
+        def end(self):
+            said.append("end")
+
+    send(data, Counts())
+    assert said == [1600000000, len(LINES), "end"]
+
+
+def test_only_a_missing_file_is_nothing(monkeypatch):
+    def fail(code):
+        def opened(at):
+            raise urllib.error.HTTPError(at, code, "", {}, None)
+
+        return opened
+
+    monkeypatch.setattr(urllib.request, "urlopen", fail(404))
+    assert updater.fetch_from("http://x")("day/state.txt") is None
+    monkeypatch.setattr(urllib.request, "urlopen", fail(500))
+    with pytest.raises(urllib.error.HTTPError):
+        updater.fetch_from("http://x")("day/state.txt")
+
+
+def test_programs():
+    from terrane.__main__ import arguments
+
+    a = arguments(["serve", "/s", "--load", "a.pbf", "--keys", "highway", "name"])
+    assert (a.program, a.store, a.load, a.keys) == ("serve", "/s", "a.pbf", ["highway", "name"])
+    assert arguments(["update", "/s", "http://x", "--turns", "2"]).turns == 2
+    with pytest.raises(SystemExit):
+        arguments(["convert", "a.pbf"])
 
 
 def test_server(spark, data, tmp_path):
