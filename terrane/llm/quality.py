@@ -74,11 +74,12 @@ class Linear:
             self.w[:] = 0
             self.b = 0.0 if not n else 30.0 if pos else -30.0
             return
-        at = np.concatenate(rows)
-        row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
         if choose:
-            df = np.bincount(at, minlength=len(self.w)).astype(float)
-            df1 = np.bincount(at, weights=y[row], minlength=len(self.w))
+            # Counted by row: a flat list of all rows' words would take most of the driver's memory.
+            df, df1 = np.zeros(len(self.w)), np.zeros(len(self.w))
+            for r, label in zip(rows, y):  # no word twice in a row
+                df[r] += 1
+                df1[r] += label
             p = (df + 1) / (n + 2)
             z = np.abs(df1 / pos - (df - df1) / (n - pos)) / np.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)))
             z[df < 5] = 0
@@ -86,10 +87,11 @@ class Linear:
             best = np.sort(best[z[best] > SIGNIFICANT])
             place = np.full(len(self.w), -1, np.int32)
             place[best] = np.arange(len(best))
-            at = place[at]
-            row, at = row[at >= 0], at[at >= 0]
+            rows = [p[p >= 0] for p in (place[r] for r in rows)]
         else:
             best = np.arange(len(self.w))
+        at = np.concatenate(rows)
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
         w, b = np.zeros(len(best)), math.log(pos / (n - pos))
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for t in range(1, steps + 1):
@@ -207,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     figures = np.array([np.frombuffer(x, np.float32) for x in got["figures"].to_pylist()]).reshape(len(words), N_FIGURES + 2)
     labels_of = np.array([[np.nan if v is None else v for v in r] for r in zip(got["quality"].to_pylist(), got["toxic"].to_pylist())], float).reshape(len(words), 2)
     turn = np.argsort([zlib.crc32(str(i).encode()) for i in got["id"].to_pylist()], kind="stable")
+    del got
     return CoTrained([words[i] for i in turn], figures[turn], labels_of[turn])
 
 
