@@ -12,27 +12,38 @@ HUB = 1000  # neighbours that one task meets
 HUBS = 10_000  # nodes of more neighbours that may be told to all tasks
 
 
-def _to_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+def _to_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
     """edges (u, v) with the least m of each u. least: u, m, n (neighbours). A hub's edges are dealt to as many tasks as it takes."""
-    # Of n_edges there are fewer than n_edges / hub nodes with more than hub edges each.
-    hub = max(HUB, -(-n_edges // HUBS))
+    if hub is None:
+        return edges.join(least.drop("n"), "u")
     hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.ceil(F.col("n") / hub).cast("int").alias("tasks")))
     salt = lambda df, x: df.join(hubs, "u", "left").withColumn("salt", x(F.coalesce("tasks", F.lit(1)))).drop("tasks")
     return salt(edges, lambda n: F.pmod(F.xxhash64("v"), n).cast("int")).join(salt(least.drop("n"), lambda n: F.explode(F.sequence(F.lit(0), n - 1))), ["u", "salt"]).drop("salt")
 
 
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _hub(edges: DataFrame) -> int | None:
+    """From how many neighbours on a node is a hub; None if no node is. Fewer than HUBS nodes have as many, whatever the input."""
+    total, most = _both(edges).groupBy("u").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    hub = max(HUB, -(-total // HUBS))
+    return hub if most > hub else None
+
+
+def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _both(edges)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _to_least(both.where("v > u"), least, 2 * n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _to_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int | None) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return _to_least(down, least, 2 * n_edges).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return _to_least(down, least, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,8 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stash(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     said = None
     while True:
-        n_edges = now.count()
-        new = stash(_small_star(_large_star(now, n_edges), n_edges).distinct(), "edges")
+        hub = _hub(now)
+        new = stash(_small_star(_large_star(now, hub), hub).distinct(), "edges")
         drop(now)
         now = new
         # Stars are the end: nobody has two least neighbours, and no least one has a lesser.
