@@ -311,6 +311,8 @@ def components_of(docs: DataFrame, *, similar: int = SIMILAR) -> DataFrame:
 def keep_one(docs: DataFrame, *, similar: int = SIMILAR) -> DataFrame:
     """The rows of documents that are the least of their component, with all their columns. A document that is a row repeated stays once more for each row."""
     found = components_of(docs, similar=similar)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_nd_gone"), F.col("t1").alias("_nd_t1"), F.col("t2").alias("_nd_t2")).distinct()
-    same = [F.col("doc_id").cast("long") == F.col("_nd_gone"), *(m == F.col(c) for m, c in zip(_marks(), ("_nd_t1", "_nd_t2")))]
-    return docs.join(gone, same, "left_anti")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_nd_id"), "t1", "t2").distinct().withColumnsRenamed({"t1": "_nd_t1", "t2": "_nd_t2"})
+    # The row is a struct while it meets them, so that names cannot clash.
+    t1, t2 = _marks()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_nd_row"), F.col("doc_id").cast("long").alias("_nd_id"), t1.alias("_nd_t1"), t2.alias("_nd_t2"))
+    return rows.join(gone, ["_nd_id", "_nd_t1", "_nd_t2"], "left_anti").select(*[F.col(f"_nd_row.`{c}`") for c in docs.columns])
