@@ -19,6 +19,7 @@ and ignored by score_documents.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -169,6 +170,13 @@ class CoTrained:
                 mix = np.array([0.0, 0.0, 30.0 if k == 0 else -30.0])
             self.parts.append((views[0][0].w, views[0][0].b, views[1][0].w, views[1][0].b, mix))
 
+    @classmethod
+    def of(cls, cuts: np.ndarray, parts: list[tuple]) -> CoTrained:
+        """A model fitted elsewhere."""
+        model = cls.__new__(cls)
+        model.cuts, model.parts = cuts, parts
+        return model
+
     def places(self, figures: np.ndarray) -> np.ndarray:
         bins = (figures[None, :N_FIGURES] > self.cuts).sum(axis=0)
         return np.r_[np.arange(N_FIGURES) * BINS + bins, N_FIGURES * BINS + figures[N_FIGURES:].astype(int)]
@@ -204,13 +212,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
             got = [features(*x) for x in zip(*(b.column(c).to_pylist() for c in ("_qc_text", "_qc_lang", "_qc_source", "_qc_n")))]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_quality"), b.column("_toxic"), pa.array([w.tobytes() for w, _ in got], pa.binary()), pa.array([f.tobytes() for _, f in got], pa.binary())], names=["id", "quality", "toxic", "words", "figures"])
 
-    got = rows.mapInArrow(run, "id long, quality double, toxic double, words binary, figures binary").toArrow().sort_by("id")
-    words = [np.frombuffer(x, np.int32) for x in got["words"].to_pylist()]
-    figures = np.array([np.frombuffer(x, np.float32) for x in got["figures"].to_pylist()]).reshape(len(words), N_FIGURES + 2)
-    labels_of = np.array([[np.nan if v is None else v for v in r] for r in zip(got["quality"].to_pylist(), got["toxic"].to_pylist())], float).reshape(len(words), 2)
-    turn = np.argsort([zlib.crc32(str(i).encode()) for i in got["id"].to_pylist()], kind="stable")
-    del got
-    return CoTrained([words[i] for i in turn], figures[turn], labels_of[turn])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, known, words, figures = [], [], [], []
+        for b in batches:
+            ids += b.column("id").to_pylist()
+            known += zip(b.column("quality").to_pylist(), b.column("toxic").to_pylist())
+            words += [np.frombuffer(x.as_py(), np.int32) for x in b.column("words")]
+            figures += [np.frombuffer(x.as_py(), np.float32) for x in b.column("figures")]
+        turn = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
+        model = _learned([words[i] for i in turn], [figures[i] for i in turn], [known[i] for i in turn])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps((model.cuts, model.parts)), 1)], pa.binary())], names=["model"])
+
+    sampled = rows.mapInArrow(run, "id long, quality double, toxic double, words binary, figures binary")
+    # The sample is bounded, so one task holds it; the driver gets nothing but the fitted weights.
+    fitted = sampled.repartition(1).mapInArrow(learn, "model binary").first()
+    return CoTrained.of(*pickle.loads(zlib.decompress(fitted["model"]))) if fitted else _learned([], [], [])
+
+
+def _learned(words: list[np.ndarray], figures: list[np.ndarray], known: list[tuple[float | None, float | None]]) -> CoTrained:
+    n = len(words)
+    labels = np.array([[np.nan if v is None else v for v in pair] for pair in known], float).reshape(n, 2)
+    return CoTrained(words, np.array(figures).reshape(n, N_FIGURES + 2), labels)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
