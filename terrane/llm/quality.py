@@ -12,7 +12,7 @@ id, with a hashed vocabulary of 2**BITS. Scoring reads every whole text, once, w
 Defined results: null text is empty text; null language, source or length are values of their own; a document whose
 label is null or not 0 or 1 counts as unlabelled; labels that disagree count as low quality and toxic; without
 labelled documents of both classes, a model returns the class that it knows (quality 1, toxicity 0 for none); rows
-that repeat are each scored; an empty table gives an empty result. Extra columns are passed on by filter_documents
+that repeat are each scored, and of rows with one doc_id the fit takes the least (by text, then language, source, length); an empty table gives an empty result. Extra columns are passed on by filter_documents
 and ignored by score_documents.
 """
 
@@ -205,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     labelled = known.join(ids, "_id", "left_semi").orderBy(*order).limit(MAX_LABELLED)
     other = ids.join(known, "_id", "left_anti").dropDuplicates().orderBy(*order).limit(MAX_UNLABELLED).withColumns({"_quality": F.lit(None).cast("double"), "_toxic": F.lit(None).cast("double")})
     sample = F.broadcast(labelled.unionByName(other))  # MAX_LABELLED + MAX_UNLABELLED rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), *_columns(docs)).join(sample, "_id").dropDuplicates(["_id"])
+    met = docs.select(F.col("doc_id").cast("long").alias("_id"), *_columns(docs)).join(sample, "_id")
+    rows = met.groupBy("_id", "_quality", "_toxic").agg(F.min(F.struct("_qc_text", "_qc_lang", "_qc_source", "_qc_n")).alias("_qc")).select("_id", "_quality", "_toxic", "_qc.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

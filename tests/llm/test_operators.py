@@ -272,6 +272,17 @@ def test_quality(spark):
     assert quality.score_documents(d.limit(0), lab).count() == 0
 
 
+def test_quality_of_repeated_ids(spark):
+    """Several texts with one doc_id: the fit is the same however the rows lie."""
+    docs = [(i % 40, " ".join(WORDS[(i * k) % len(WORDS)] for k in range(1, 30)), "en", f"s{i % 3}", i) for i in range(120)]
+    lab = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    found = []
+    for rows, parts in ((docs, 2), (docs[::-1], 7)):
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        found.append(sorted(tuple(q) for q in quality.score_documents(d, lab).collect()))
+    assert found[0] == found[1]
+
+
 def test_substrings(spark, corpus, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK", 3000)
     monkeypatch.setattr(substring_dedup, "BUCKET", 5000)
