@@ -117,6 +117,26 @@ def test_lm_scores_do_not_hang_on_partitions(spark):
     assert scores[0][100] > 50 * scores[0][99]  # a text learns its own new words
 
 
+def test_lm_mixers_learn_from_all_that_trains(spark, monkeypatch):
+    """Every bit of every training token, and every word seen once: more documents and words than a lesson of fixed size would have."""
+    rows = [(i, " ".join([f"{i}x{j}" for j in range(50)] + ["of", "the"] * 3)) for i in range(1000)]
+    given = {}
+
+    def kept(name, f):
+        return lambda *args: (given.update({name: args}), f(*args))[1]
+
+    monkeypatch.setattr(lm_score, "SHARD", 2_000, raising=False)
+    for name in ("_sum_up", "_rate"):
+        monkeypatch.setattr(lm_score, name, kept(name, getattr(lm_score, name)))
+    assert lm_score.score_documents(frame(spark, rows, parts=3)).count() == 1000
+    trained = [w for i, text in rows if not lm_score.held_out(i) for w in lm_score.tokens(text)]
+    code, seen = given["_sum_up"][0], given["_sum_up"][4]
+    assert seen.sum() == code.depth[code.symbols(trained)].sum()
+    once = [w for w, n in collections.Counter(trained).items() if n == 1]
+    bits = sum(8 * len(w) + 8 for w in once)
+    assert len(once) > 35_000 and 0.98 * bits < given["_rate"][2].sum() <= bits  # old evidence fades a little
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
 def test_lm_scores_of_held_out_texts(spark):
     """The mixed model beats the base, by a tenth of a digit a token and more, on texts that it has not seen."""
