@@ -145,6 +145,37 @@ def test_lm_scores_of_held_out_texts(spark):
     assert score / n > base / n + 0.1
 
 
+def test_lm_spelling_of_words_that_begin_alike():
+    """What several sorted words begin with is spelled once: each has the same chance as alone, at any number of bytes told."""
+    words = sorted({b"", b"a", b"ab", b"abc", b"abd", b"abda", b"b", b"ba" * 300, b"ba" * 299 + b"c"} | {f"ab{i}".encode() for i in range(40)})
+    speller = lm_score.Speller([np.zeros((2, 1 << b), np.uint16) for b in lm_score.BITS])
+    speller.learn(words)
+    told = np.array([2 * (w[1:2] == b"b") for w in words])
+    alone = [speller.log10([w], told[i : i + 1])[0] for i, w in enumerate(words)]
+    assert np.allclose(speller.log10(words, told), alone)
+    _, _, new, same = lm_score._tree(words)
+    assert len(new) == len({(w + b" ")[:i] for w in words for i in range(1, len(w) + 2)}) and len(same) == sum(len(w) + 1 for w in words)
+
+
+def test_lm_repeats_of_rare_words():
+    """Against a plain count, word by word."""
+    r = random.Random(5)
+    words = [f"{r.choice('ab')}{int(r.expovariate(0.3))}".encode() for _ in range(400)]
+    starts, docs = np.array([w[0] for w in words]), np.sort(np.array([r.randrange(9) for _ in words]))
+    share, rows = lm_score._repeated(docs, words, starts)
+    shown, times, repeats = {}, collections.Counter(), collections.defaultdict(list)
+    for i, (d, w, b) in enumerate(zip(docs.tolist(), words, starts.tolist())):
+        before = shown.setdefault((d, b), [])
+        t, u, n = len(before), len(set(before)), before.count(w)
+        assert math.isclose(share[i], (n or max(u, 1)) / (t + max(u, 1)))
+        repeats[d, w] += [u / n] if n else []
+        times[d, w] += 1
+        before.append(w)
+    got = {(d, w): (n, x) for d, w, n, x in zip(*(rows[k].to_pylist() for k in ("uid", "word", "n", "repeats")))}
+    assert got == {k: (n, repeats[k]) for k, n in times.items()}
+    assert len(lm_score._repeated(docs[:0], [], starts[:0])[0]) == 0
+
+
 def _token_model():
     r = random.Random(7)
     words = [f"{r.choice('xyz')}{i}".encode() for i in range(400)]
