@@ -4,8 +4,10 @@ import math
 import os
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,54 @@ def test_lm_mixers_learn_from_all_that_trains(spark, monkeypatch):
     assert len(once) > 35_000 and 0.98 * bits < given["_rate"][2].sum() <= bits  # old evidence fades a little
 
 
+def test_lm_reading_looks_up_each_distinct_word_once(monkeypatch):
+    """Tokens, however many, cost a lookup for each distinct word of a piece of text; streams hold all of them, in order."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *args):
+            self.n += 1
+            return super().get(*args)
+
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(lm_score, "BATCH", 1_000)
+    texts = [" ".join(f"W{(i + j) % 50}" for j in range(300)) for i in range(40)] + [None, "rare w1 rare"]
+    words = [b""] + [f"w{i}".encode() for i in range(50)]
+    code = token_mixing.Code(words, [9] * len(words), [b"ra"], [1], 1)
+    code.words = Counted(code.words)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    rows = list(lm_score._read(code, np.zeros(len(words)))(iter([batch])))
+    assert code.words.n == 52
+    got = [x for _, symbols, _, _ in lm_score._streams(code, (b for b in rows if 0 in b["kind"].to_pylist())) for x in symbols.tolist()]
+    assert got == [code.symbols([w])[0] for text in texts for w in lm_score.tokens(text)]
+    assert [(r["uid"], r["word"], r["n"]) for b in rows for r in b.to_pylist() if r["kind"] == 1] == [(41, b"rare", 2)]
+
+
+def test_lm_tokens_of_many_texts(monkeypatch):
+    """Against those of each text alone, and counted, by small pieces: slices, nulls, odd spaces, texts that touch."""
+    r = random.Random(6)
+    monkeypatch.setattr(lm_score, "PIECE", 20)
+    monkeypatch.setattr(lm_score, "FLUSH", 5)
+    for _ in range(300):
+        texts = [None if r.random() < 0.1 else "".join(r.choice("aB\xe9\t\n\x0b\x0c\r \x1c\x85\xa0\xc0Z\0") for _ in range(r.randrange(9))) for _ in range(r.randrange(1, 9))]
+        begin, kind = r.randrange(len(texts)), r.choice((pa.string(), pa.large_string()))
+        want = [lm_score.tokens(t) for t in texts[begin:]]
+        words, sizes, n_bytes = lm_score._flat_tokens(pa.array(texts, kind).slice(begin))
+        assert words.to_pylist() == lm_score._listed(words) == [w for ws in want for w in ws]
+        assert sizes.tolist() == list(map(len, want)) and n_bytes.tolist() == [len((t or "").encode()) for t in texts[begin:]]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, kind)], names=["doc_id", "text"]).slice(begin)
+        counts, trained = collections.Counter(), collections.Counter()
+        for row in (row for b in lm_score._count(iter([batch, batch])) for row in b.to_pylist()):
+            counts[row["word"]] += row["c"]
+        for i, ws in enumerate(want, begin):
+            trained.update({w: 2 * n * (not lm_score.held_out(i)) for w, n in collections.Counter(ws).items()})
+        assert dict(counts) == dict(trained)
+    assert lm_score._flat_tokens(pa.array([], pa.string()))[0].to_pylist() == [] and lm_score._listed(pa.array([], pa.binary())) == []
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
 def test_lm_scores_of_held_out_texts(spark):
     """The mixed model beats the base, by a tenth of a digit a token and more, on texts that it has not seen."""
