@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, lm_score, near_dedup, neighbours, quality, secret_scan, substring_dedup, url_filters
+from . import byte_bpe, decontaminate, line_dedup, lm_score, near_dedup, neighbours, quality, secret_scan, sharding, substring_dedup, url_filters
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -61,13 +61,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_read(spark, sf_dir, "documents"), 8)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_lm_scoring, op4_nearest_neighbours, op5_quality_classifier, op6_suffix_array_dedup, op7_byte_bpe, op8_minhash_near_dedup, op9_secret_scan, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_lm_scoring, op4_nearest_neighbours, op5_quality_classifier, op6_suffix_array_dedup, op7_byte_bpe, op8_minhash_near_dedup, op9_secret_scan, op10_decontamination, op11_sharding, pipeline)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES = {
