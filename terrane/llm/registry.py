@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, lm_score, manifest, near_dedup, neighbours, quality, secret_scan, sharding, substring_dedup, url_filters
+from . import byte_bpe, decontaminate, line_dedup, lm_score, manifest, near_dedup, neighbours, quality, secret_scan, sharding, substring_dedup, url_filters, vector_codes
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -69,13 +69,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(_read(spark, sf_dir, "documents"), F.replace("text", F.lit("\n"), F.lit("")), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_errors(*vector_codes.compress(_read(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_lm_scoring, op4_nearest_neighbours, op5_quality_classifier, op6_suffix_array_dedup, op7_byte_bpe, op8_minhash_near_dedup, op9_secret_scan, op10_decontamination, op11_sharding, op12_merkle_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_lm_scoring, op4_nearest_neighbours, op5_quality_classifier, op6_suffix_array_dedup, op7_byte_bpe, op8_minhash_near_dedup, op9_secret_scan, op10_decontamination, op11_sharding, op12_merkle_manifest, op13_vector_codes, pipeline)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES = {
