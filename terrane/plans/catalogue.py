@@ -427,3 +427,6 @@ def pbf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query(_BACK)
 def vex_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, d, "vex")
+
+
+from . import kept_current  # noqa: E402,F401  registers its queries

@@ -65,3 +65,47 @@ def dataset(spark: SparkSession, sf_dir: str) -> OsmDataset:
     m = F.transform(F.sort_array(F.collect_list(F.struct("mtype", "member_id", "mrole"))), lambda m: F.struct(m["mtype"].alias("type"), m["member_id"].alias("id"), m["mrole"].alias("role")))
     relations = view(spark, sf_dir, "members").groupBy("relation_id").agg(m.cast(MEMBERS).alias("members")).select(F.col("relation_id").alias("id"), "members", no_tags().alias("tags"))
     return OsmDataset.of(nodes, ways, relations)
+
+
+def publish(changes: DataFrame, base: str, scale: str = "minute") -> None:
+    """A replication server's folder with a diff for each seq of node changes, dated a day apart; base is a path that all executors open."""
+    import gzip
+    import os
+
+    from ..streaming.updater import path_of
+
+    def element(r) -> str:
+        half = lambda n: f"{(n + (0.5 if n >= 0 else -0.5)) / 1e7:.8f}"  # noqa: E731  degrees are cut to whole units when they are read
+        return f'<node id="{r.id}"/>' if r.op == "delete" else f'<node id="{r.id}" lat="{half(r.fixed_lat)}" lon="{half(r.fixed_lon)}"/>'
+
+    def write(pdf):
+        seq = int(pdf["seq"].iloc[0])
+        body = "".join(f"<{tag}>{element(r)}</{tag}>" for r in pdf.sort_values("ord").itertuples() for tag in ("delete" if r.op == "delete" else "modify",))
+        at = f"{base}/{scale}/{path_of(seq)}"
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(f"{at}.osc.gz", "wb") as f:
+            f.write(gzip.compress(f"<osmChange>{body}</osmChange>".encode()))
+        return pdf[["seq"]].head(1)
+
+    changes.where("type = 'NODE'").groupBy("seq").applyInPandas(write, "seq bigint").count()
+
+
+def publish_states(base: str, sequences: list[int], scale: str = "minute") -> None:
+    """State files of diffs, and that of the last one as the server's state."""
+    import os
+    from datetime import datetime, timezone
+
+    from ..streaming.updater import path_of
+
+    for n in sequences:
+        at = f"{base}/{scale}/{path_of(n)}.state.txt"
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        text = f"sequenceNumber={n}\ntimestamp={datetime.fromtimestamp(day(n), timezone.utc):%Y-%m-%dT%H\\:%M\\:%SZ}\n"
+        for where in (at, f"{base}/{scale}/state.txt"):
+            with open(where, "w") as f:
+                f.write(text)
+
+
+def day(n: int) -> int:
+    """The timestamp of the n-th diff: the end of the n-th day of 2024."""
+    return 1704067200 + 86400 * n
