@@ -6,7 +6,10 @@
 
 A diff is a new segment and a new version, however large the store is. The log entry is written last, so what a lost job leaves counts for
 nothing, and a version that is read stays as it is. Compaction rewrites ranges whose changes have grown to a share of their rows, and no others.
-The tile index is a further kind, keyed by way: a diff brings new rows of the ways that it changes, and of those whose first node it moves.
+
+Indexes are further kinds, chosen when a store is made, and a diff's segment has their changes too. "index", the tile index, is keyed by way: new rows
+come of the ways that a diff changes, and of those whose first node it moves. "counts" (see derived) is keyed by node: old counts are
+looked up for the ids that the diff's ways and nodes name, and no others.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import functions as F
 from ..functions.tiles import degrees, x_tile, y_tile
 from ..model import META, NODES, RELATIONS, WAYS, OsmDataset
 from ..sources import folders
+from . import derived
 from .changes import last_changes
 
 INDEX = "id bigint, node_id bigint, xtile int, ytile int"
-SCHEMAS = {"nodes": NODES, "ways": WAYS, "relations": RELATIONS, "index": INDEX}
+SCHEMAS = {"nodes": NODES, "ways": WAYS, "relations": RELATIONS, "index": INDEX, "counts": derived.COUNTS}
+INDEXES = {"index": "ways", "counts": "nodes"}  # and the kind whose ranges they have
 TYPE_OF = {"nodes": "NODE", "ways": "WAY", "relations": "RELATION"}
 RANGES = 64
 
@@ -39,7 +44,11 @@ class Version:
     segments: list[dict] = field(default_factory=list)  # name, place (the version that it came with), ranges: those of its changes by kind
     through: dict[str, dict[str, int]] = field(default_factory=dict)  # kind, range: the place up to which changes are in the base
 
-    def counts(self, segment: dict, kind: str) -> set[str]:
+    @property
+    def kinds(self) -> list[str]:
+        return list(self.bounds)
+
+    def pending(self, segment: dict, kind: str) -> set[str]:
         """Ranges whose changes in a segment are not in the base yet."""
         passed = self.through.get(kind, {})
         return {r for r in segment["ranges"].get(kind, []) if segment["place"] > passed.get(r, 0)}
@@ -92,17 +101,20 @@ def _with_tiles(first: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.join(at, "node_id", "left").select("id", "node_id", "xtile", "ytile")
 
 
-def create(ds: OsmDataset, path: str, ranges: int = RANGES) -> Version:
-    """A new store. One that holds data already is refused."""
+def create(ds: OsmDataset, path: str, ranges: int = RANGES, indexes: tuple[str, ...] = ("index",)) -> Version:
+    """A new store with the indexes named: "index", "counts", both or none. A path that holds data already is refused."""
+    if set(indexes) - set(INDEXES):
+        raise ValueError(f"indexes are {', '.join(INDEXES)}")
     spark = ds.spark
     if versions(spark, path):
         raise FileExistsError(f"{path} holds a dataset already")
     name, bounds, base = uuid.uuid4().hex, {}, {}
-    for kind in SCHEMAS:
+    for kind in (*TYPE_OF, *indexes):
         to = f"{path}/base/{name}/{kind}"
-        if kind == "index":
-            df = first_node_rows(*(spark.read.schema(SCHEMAS[k]).parquet(f"{path}/base/{name}/{k}") for k in ("ways", "nodes")))
-            bounds[kind] = bounds["ways"]
+        if kind in INDEXES:
+            stored = [_read(spark, SCHEMAS[k], [f"{path}/base/{at}" for at in base[k].values()]) for k in ("ways", "nodes")]
+            df = (first_node_rows if kind == "index" else derived.counts)(*stored)
+            bounds[kind] = bounds[INDEXES[kind]]
         else:
             df = getattr(ds, kind)
             bounds[kind] = _bounds(df, ranges)
@@ -116,10 +128,10 @@ def _read(spark: SparkSession, schema: str, paths: list[str]) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _pending(spark: SparkSession, path: str, v: Version, kind: str, ranges: set[str] | None = None) -> tuple[DataFrame, set[str]]:
+def _last(spark: SparkSession, path: str, v: Version, kind: str, ranges: set[str] | None = None) -> tuple[DataFrame, set[str]]:
     """The last change of each id in segments that count, and the ranges that have any."""
     schema = f"{SCHEMAS[kind]}, op string, place bigint, seq bigint, ord bigint, range int"
-    of = {s["name"]: own for s in v.segments if (own := v.counts(s, kind) & (ranges if ranges is not None else v.counts(s, kind)))}
+    of = {s["name"]: own for s in v.segments if (own := v.pending(s, kind) & (ranges if ranges is not None else v.pending(s, kind)))}
     touched = set().union(*of.values())
     rows = _read(spark, schema, [f"{path}/segments/{n}/kind={kind}" for n in of])
     passed = v.through.get(kind, {})
@@ -139,7 +151,7 @@ def _merged(base: DataFrame, last: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, path: str, kind: str, v: Version, ranges: set[str] | None = None) -> DataFrame:
     """The rows of a kind, of some ranges or all. Ranges without changes are read as they are."""
-    last, touched = _pending(spark, path, v, kind, ranges)
+    last, touched = _last(spark, path, v, kind, ranges)
     own = {r: f"{path}/base/{at}" for r, at in v.base[kind].items() if ranges is None or r in ranges}
     still = _read(spark, SCHEMAS[kind], [at for r, at in own.items() if r not in touched])
     if not touched:
@@ -153,8 +165,20 @@ def load(spark: SparkSession, path: str, number: int | None = None) -> OsmDatase
     return OsmDataset(*(table(spark, path, k, v) for k in ("nodes", "ways", "relations")), meta)
 
 
+def _indexed(spark: SparkSession, path: str, kind: str, number: int | None) -> DataFrame:
+    v = current(spark, path, number)
+    if kind not in v.kinds:
+        raise LookupError(f"{path} has no index {kind!r}")
+    return table(spark, path, kind, v)
+
+
+def load_counts(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """id, refs, all_refs, present: to be filtered by derived.referenced(), intersection(), dangling() or unused()."""
+    return _indexed(spark, path, "counts", number)
+
+
 def load_index(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
-    return table(spark, path, "index", current(spark, path, number)).where("xtile is not null").select("xtile", "ytile", F.col("id").alias("way_id"))
+    return _indexed(spark, path, "index", number).where("xtile is not null").select("xtile", "ytile", F.col("id").alias("way_id"))
 
 
 def look_up(spark: SparkSession, path: str, kind: str, ids: DataFrame, v: Version | None = None) -> DataFrame:
@@ -182,9 +206,12 @@ def append(spark: SparkSession, path: str, changes: DataFrame, timestamp: int |
     segment = {"name": name, "place": place, "ranges": {}}
     _note_ranges(spark, at, segment)
     own = Version(place, v.timestamp if timestamp is None else timestamp, v.sequence if sequence is None else sequence, v.bounds, v.base, [*v.segments, segment], v.through)
-    moved = _index_changes(spark, path, v, own, segment)
-    if moved is not None:
-        moved.repartition("range").sortWithinPartitions("range", "id").write.parquet(f"{at}/kind=index")
+    if {"nodes", "ways"} & set(segment["ranges"]):
+        for kind in INDEXES:
+            if kind in v.kinds and (rows := (_index_changes if kind == "index" else _count_changes)(spark, path, v, own)) is not None:
+                zero = F.lit(0).cast("long")
+                rows = rows.withColumns({"place": F.lit(place).cast("long"), "seq": zero, "ord": zero, "range": range_of(v.bounds[kind], F.col("id"))})
+                rows.repartition("range").sortWithinPartitions("range", "id").write.parquet(f"{at}/kind={kind}")
         _note_ranges(spark, at, segment)
     return _commit(spark, path, own)
 
@@ -197,15 +224,17 @@ def _note_ranges(spark: SparkSession, at: str, segment: dict) -> None:
                 segment["ranges"][kind] = sorted(str(r[0]) for r in found)
 
 
-def _index_changes(spark: SparkSession, path: str, before: Version, after: Version, segment: dict) -> DataFrame | None:
-    """Index rows that a segment makes other ones."""
-    if "nodes" not in segment["ranges"] and "ways" not in segment["ranges"]:
-        return None
-    if "ways" not in segment["ranges"] and not before.base["index"] and not any("index" in x["ranges"] for x in before.segments):
+def _own(spark: SparkSession, path: str, after: Version, kind: str) -> DataFrame:
+    """The changes of the latest segment alone."""
+    only = Version(after.number, 0, 0, after.bounds, after.base, after.segments[-1:])
+    return _last(spark, path, only, kind)[0]
+
+
+def _index_changes(spark: SparkSession, path: str, before: Version, after: Version) -> DataFrame | None:
+    """Rows of the tile index that the latest segment makes other ones."""
+    if "ways" not in after.segments[-1]["ranges"] and not before.base["index"] and not any("index" in s["ranges"] for s in before.segments):
         return None  # no way that a node could move
-    only = Version(after.number, 0, 0, after.bounds, after.base, [segment])
-    ways, _ = _pending(spark, path, only, "ways")
-    nodes, _ = _pending(spark, path, only, "nodes")
+    ways, nodes = _own(spark, path, after, "ways"), _own(spark, path, after, "nodes")
     set_ways = ways.where("op = 'upsert'").select("id", F.get("nodes", F.lit(0)).alias("node_id"))
     old = table(spark, path, "index", before).select("id", "node_id")
     beside = old.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").join(ways.select("id"), "id", "left_anti").select("id", "node_id")
@@ -213,17 +242,29 @@ def _index_changes(spark: SparkSession, path: str, before: Version, after: Versi
     here = look_up(spark, path, "nodes", first.select(F.col("node_id").alias("id")), after)
     gone = ways.where("op = 'delete'").select("id").unionByName(set_ways.where("node_id is null").select("id"))
     put = _with_tiles(first, here).withColumn("op", F.lit("upsert"))
-    rows = put.unionByName(gone.withColumn("op", F.lit("delete")), allowMissingColumns=True)
-    zero = F.lit(0).cast("long")
-    return rows.withColumns({"place": F.lit(after.number).cast("long"), "seq": zero, "ord": zero, "range": range_of(after.bounds["index"], F.col("id"))})
+    return put.unionByName(gone.withColumn("op", F.lit("delete")), allowMissingColumns=True)
+
+
+def _count_changes(spark: SparkSession, path: str, before: Version, after: Version) -> DataFrame:
+    """New counts of the nodes that the latest segment's ways and nodes, and what they replace, name."""
+    ways, nodes = _own(spark, path, after, "ways"), _own(spark, path, after, "nodes")
+    put = lambda df: df.where("op = 'upsert'")
+    deltas = derived.count_deltas(look_up(spark, path, "ways", ways, before), put(ways), look_up(spark, path, "nodes", nodes, before), put(nodes))
+    at = f"{path}/segments/{after.segments[-1]['name']}/deltas"
+    deltas.write.parquet(at)  # small, and read four times
+    deltas = spark.read.schema(derived.COUNTS).parquet(at)
+    old = look_up(spark, path, "counts", deltas, before)
+    now = derived.advance(old, deltas)
+    gone = old.join(now.select("id"), "id", "left_anti").select("id", F.lit("delete").alias("op"))
+    return now.withColumn("op", F.lit("upsert")).unionByName(gone, allowMissingColumns=True)
 
 
 def compact(spark: SparkSession, path: str, share: float = 0.1) -> Version:
     """Rewrite the ranges whose pending changes number at least `share` of their rows; 0 rewrites all ranges with changes."""
     v = current(spark, path)
     name, base, done = uuid.uuid4().hex, {k: dict(b) for k, b in v.base.items()}, {}
-    for kind in SCHEMAS:
-        last, touched = _pending(spark, path, v, kind)
+    for kind in v.kinds:
+        last, touched = _last(spark, path, v, kind)
         if not touched:
             continue
         count = lambda df: {str(r[0]): r[1] for r in df.groupBy(range_of(v.bounds[kind], F.col("id"))).count().collect()}  # noqa: E731, B023  one row a range
@@ -242,9 +283,9 @@ def compact(spark: SparkSession, path: str, share: float = 0.1) -> Version:
                 base[kind][r] = f"{name}/{kind}/range={r}"
     if not any(done.values()):
         return v
-    through = {k: {**v.through.get(k, {}), **dict.fromkeys(done.get(k, ()), v.number)} for k in SCHEMAS}
+    through = {k: {**v.through.get(k, {}), **dict.fromkeys(done.get(k, ()), v.number)} for k in v.kinds}
     own = Version(v.number + 1, v.timestamp, v.sequence, v.bounds, base, v.segments, through)
-    own.segments = [s for s in v.segments if any(own.counts(s, k) for k in SCHEMAS)]
+    own.segments = [s for s in v.segments if any(own.pending(s, k) for k in v.kinds)]
     return _commit(spark, path, own)
 
 

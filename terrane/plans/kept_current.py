@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tags import has_tag
 from ..model import RELATIONS, WAYS, OsmDataset
-from ..operators import changes, segments
+from ..operators import changes, derived, segments
 from ..sources import folders
 from ..streaming import latest, replication
 from . import fixtures
-from .catalogue import _LAST, node_changes, query
+from .catalogue import _LAST, _changed, node_changes, query
 from .fixtures import ctes, dataset
 
 _AFTER = "SELECT node_id AS id, fixed_lat FROM nodes WHERE node_id NOT IN (SELECT node_id FROM last_change) UNION ALL SELECT node_id, fixed_lat FROM last_change WHERE op = 'upsert'"
@@ -83,3 +84,32 @@ def segmented_nodes(spark: SparkSession, d: str) -> DataFrame:
         if k % 2:
             segments.compact(spark, path)
     return segments.load(spark, path).nodes.select("id", "fixed_lat")
+
+
+_DERIVED = """new_ways AS (SELECT way_id, highway = 'urgent' AS turned, building IS NOT NULL AS gone FROM ways),
+r AS (SELECT r.node_id FROM way_refs r JOIN new_ways w ON w.way_id = r.way_id WHERE NOT gone AND (NOT turned OR pos > 0)),
+n AS (SELECT node_id FROM nodes WHERE node_id % 7 <> 0 AND node_id % 100000 <> 99999 UNION ALL SELECT DISTINCT node_id + 1 FROM nodes WHERE node_id % 7 = 0 AND node_id % 100000 = 99999)"""
+
+
+@query(
+    ctes(_DERIVED)
+    + """SELECT node_id AS id, CAST(sum(refs) AS BIGINT) AS refs, sum(refs) > 1 AS intersection, sum(refs) > 0 AND sum(here) = 0 AS dangling
+ FROM (SELECT node_id, 1 AS refs, 0 AS here FROM r UNION ALL SELECT node_id, 0, 1 FROM n) GROUP BY 1"""
+)
+def derived_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings go, urgent ways lose their first node, nodes of every seventh id go, some come: counts kept by differences from the stored ones."""
+    ds = dataset(spark, d)
+    path = folders.shared(spark, "store")
+    segments.create(OsmDataset.of(ds.nodes, ds.ways, spark.createDataFrame([], RELATIONS)), path, ranges=16, indexes=("counts",))
+    put, one = lambda c: F.lit(c), F.lit(1).cast("long")
+    keyed = lambda df, type_, op: df.select(one.alias("seq"), F.lit(0).cast("long").alias("ord"), op.alias("op"), F.lit(type_).alias("type"), "*")
+    building = has_tag(F.col("tags"), "building")
+    ways = ds.ways.where(building | has_tag(F.col("tags"), "highway", "urgent")).select("id", F.slice("nodes", 2, 100_000).alias("nodes"), "tags")
+    ways = keyed(ways, "WAY", F.when(building, "delete").otherwise("upsert"))
+    point = F.col("id") % 100_000 == 99_999
+    nodes = keyed(ds.nodes.where((F.col("id") % 7 == 0) | point).select("id"), "NODE", put("delete"))
+    more = keyed(ds.nodes.where((F.col("id") % 7 == 0) & point).withColumn("id", F.col("id") + 1), "NODE", put("upsert"))
+    for k, rows in enumerate((ways, nodes, more)):
+        segments.append(spark, path, _changed(spark, rows), sequence=k + 1)
+    found = segments.load_counts(spark, path)
+    return found.select("id", "refs", derived.intersection().alias("intersection"), derived.dangling().alias("dangling"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.model import NODES, RELATIONS, WAYS, OsmDataset
-from terrane.operators import analyze, changes, index, segments
+from terrane.operators import analyze, changes, derived, index, segments
 from terrane.sources import folders
 
 
@@ -36,7 +36,7 @@ def test_segments(spark, tmp_path):
     ds, path = dataset(spark), str(tmp_path / "store")
     with pytest.raises(FileNotFoundError):
         segments.current(spark, path)
-    segments.create(ds, path, ranges=8)
+    segments.create(ds, path, ranges=8, indexes=("index", "counts"))
     with pytest.raises(FileExistsError):
         segments.create(ds, path)
     assert same(segments.load(spark, path), ds)
@@ -50,12 +50,18 @@ def test_segments(spark, tmp_path):
     assert segments.append(spark, path, diff(spark, 7, seed=99), 1, 7).number == 4  # passed already
     rows = lambda df: sorted(map(tuple, df.select("xtile", "ytile", "way_id").collect()))
     assert rows(segments.load_index(spark, path)) == rows(index.tile_index(want.ways, want.nodes))
+    counts = lambda df: sorted(map(tuple, df.select("id", "refs", "all_refs", "present").collect()))
+    assert counts(segments.load_counts(spark, path)) == counts(derived.counts(want.ways, want.nodes))
+    ids = lambda df, c: sorted(r[c] for r in df.select(c).collect())
+    assert ids(segments.load_counts(spark, path).where(derived.intersection()), "id") == ids(analyze.intersection_nodes(want.ways), "node_id")
+    assert ids(segments.load_counts(spark, path).where(derived.referenced()), "id") == ids(analyze.referenced_nodes(want.ways), "node_id")
     asked = spark.createDataFrame([(i,) for i in (3, 5, 9, 9, 10**9, None)], "id long")
     assert sorted(map(str, segments.look_up(spark, path, "nodes", asked).collect())) == sorted(map(str, want.nodes.where("id in (3, 5, 9)").select("id", "fixed_lat", "fixed_lon", "tags").collect()))
     # An older version is still there, whole.
     assert same(segments.load(spark, path, 1), ds)
     done = segments.compact(spark, path, share=0)
     assert done.segments == [] and same(segments.load(spark, path), want) and rows(segments.load_index(spark, path)) == rows(index.tile_index(want.ways, want.nodes))
+    assert counts(segments.load_counts(spark, path)) == counts(derived.counts(want.ways, want.nodes))
     segments.vacuum(spark, path, keep=1)
     assert same(segments.load(spark, path), want) and folders.names(spark, f"{path}/segments") == [] and segments.versions(spark, path) == [5]
 
@@ -91,7 +97,11 @@ def test_a_lost_job_leaves_the_store_as_it_was(spark, tmp_path):
 
 def test_a_store_of_nothing(spark, tmp_path):
     path = str(tmp_path / "store")
-    segments.create(OsmDataset.empty(spark), path)
+    segments.create(OsmDataset.empty(spark), path, indexes=())
+    with pytest.raises(LookupError):
+        segments.load_counts(spark, path)
+    with pytest.raises(ValueError):
+        segments.create(OsmDataset.empty(spark), path + "2", indexes=("speeds",))
     assert segments.load(spark, path).counts().first() == (0, 0, 0)
     d = diff(spark, 1, 50)
     segments.append(spark, path, d, 60, 1)
