@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import coding, tags, text, tiles
 from ..model import MEMBERS, TAGS, OsmDataset, members, way_refs
-from ..operators import analyze, changes, enrich, extract, index
-from ..sources import files
+from ..operators import analyze, changes, curve, enrich, extract, index
+from ..sources import files, folders
 from .fixtures import BOX, BOX_SQL, TILE, ctes, dataset, table, view
 
 QUERIES: dict = {}
@@ -256,6 +256,26 @@ def entity_order(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select(F.row_number().over(Window.orderBy("xtile", "ytile", "id")).cast("long").alias("place"), "id")  # of one extract
 
 
+@query(ctes() + "SELECT way_id AS id, xtile, ytile FROM tile_index JOIN ext_ways USING (way_id)")
+def curve_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The ways of a box by a stored index along a space-filling curve."""
+    path = folders.shared(spark, "curve")
+    curve.write_index(_index(dataset(spark, d)), path)
+    found = curve.read_index(spark, path, *tiles.tile_range(*BOX))
+    return found.select(F.col("way_id").alias("id"), "xtile", "ytile")
+
+
+_TILED = f"""tiled AS (SELECT z AS zoom, x >> (12 - z) AS xtile, y >> (12 - z) AS ytile, count(*) AS n
+ FROM (SELECT {TILE['x'].format(lon='(fixed_lon / 1e7)')} AS x, {TILE['y'].format(lat='(fixed_lat / 1e7)')} AS y FROM nodes), range(13) t(z) GROUP BY 1, 2, 3)"""
+
+
+@query(ctes(_TILED) + "SELECT CAST(t.zoom AS INT) AS zoom, CAST(t.xtile AS INT) AS xtile, CAST(t.ytile AS INT) AS ytile, t.n FROM tiled t LEFT JOIN tiled p ON p.zoom = t.zoom - 1 AND p.xtile = t.xtile // 2 AND p.ytile = t.ytile // 2 WHERE (t.n <= 500 OR t.zoom = 12) AND (t.zoom = 0 OR p.n > 500)")
+def tile_pyramid(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of nodes, split where they hold over 500."""
+    n = node_tile(spark, d)
+    return curve.pyramid(n.select(curve.key(F.col("xtile"), F.col("ytile")).alias("key")), 12, 500)
+
+
 # ---- changes ----
 
 _LAST = "last_change AS (SELECT * FROM (SELECT event_id, ts, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, user_id * 100000 + 99999 AS node_id, CAST(450000000 + floor(value * 1000) AS INT) AS fixed_lat, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1)"
@@ -398,8 +418,10 @@ def string_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _round_trip(spark: SparkSession, d: str, fmt: str) -> DataFrame:
-    """Entities of the extract, through the format and back."""
-    back = files.decode_bytes(spark, fmt, files.encode_bytes(extract.extract(dataset(spark, d), BOX), fmt))
+    """All entities, through the format's writers, a folder of parts, and back."""
+    path = folders.shared(spark, fmt).removeprefix("file://").removeprefix("file:")
+    files.save_parts(dataset(spark, d), path, fmt)
+    back = files.load_osm(spark, path)
     n = back.nodes.select(F.lit("NODE").alias("kind"), "id", F.concat_ws(" ", "fixed_lat", "fixed_lon", text.tags_text(F.col("tags"))).alias("said"))
     w = back.ways.select(F.lit("WAY").alias("kind"), "id", F.concat_ws(" ", F.concat_ws(",", F.col("nodes").cast("array<string>")), text.tags_text(F.col("tags"))).alias("said"))
     r = back.relations.select(F.lit("RELATION").alias("kind"), "id", F.concat_ws(", ", F.transform("members", text.member_text)).alias("said"))
@@ -407,15 +429,10 @@ def _round_trip(spark: SparkSession, d: str, fmt: str) -> DataFrame:
 
 
 _BACK = (
-    ctes(
-        _EXTRACTED,
-        _CLOSED,
-        "refs AS (SELECT way_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) AS said FROM way_refs GROUP BY 1)",
-        recursive=True,
-    )
-    + """SELECT 'NODE' AS kind, node_id AS id, fixed_lat || ' ' || fixed_lon || ' ' AS said FROM nodes WHERE node_id IN (SELECT node_id FROM way_refs WHERE way_id IN (SELECT way_id FROM ext_ways))
- UNION ALL SELECT 'WAY', w.way_id, r.said || ' highway=' || highway || ';' || coalesce('building=' || building || ';', '') || 'name=' || name || ';' FROM ways w JOIN ext_ways USING (way_id) JOIN refs r ON r.way_id = w.way_id
- UNION ALL SELECT 'RELATION', m.relation_id, string_agg(mtype || ' ' || member_id || CASE WHEN mrole <> '' THEN ' as ' || mrole ELSE '' END, ', ' ORDER BY mtype, member_id, mrole) FROM closed c JOIN members m ON m.relation_id = c.relation_id GROUP BY 2"""
+    ctes("refs AS (SELECT way_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) AS said FROM way_refs GROUP BY 1)")
+    + """SELECT 'NODE' AS kind, node_id AS id, fixed_lat || ' ' || fixed_lon || ' ' AS said FROM nodes
+ UNION ALL SELECT 'WAY', w.way_id, r.said || ' highway=' || highway || ';' || coalesce('building=' || building || ';', '') || 'name=' || name || ';' FROM ways w JOIN refs r ON r.way_id = w.way_id
+ UNION ALL SELECT 'RELATION', relation_id, string_agg(mtype || ' ' || member_id || CASE WHEN mrole <> '' THEN ' as ' || mrole ELSE '' END, ', ' ORDER BY mtype, member_id, mrole) FROM members GROUP BY 2"""
 )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import tempfile
 import urllib.parse
@@ -14,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import text
 from ..model import META, OsmDataset
-from . import pbf, vex
-from .formats import register
+from . import opened, pbf, vex
+from .formats import KINDS, PARTS, read_parts, register
 from .rows import from_batch
 
 BEGIN, END = "--- BEGINNING OF OSM TEXT OUTPUT ---", "--- END OF OSM TEXT OUTPUT ---"  # fixed values
-KINDS = ("nodes", "ways", "relations")
 
 
 def suffix(path: str, known: tuple[str, ...]) -> str:
@@ -30,29 +30,76 @@ def suffix(path: str, known: tuple[str, ...]) -> str:
 
 
 def load_osm(spark: SparkSession, path: str, *, keys: list[str] | None = None, limits: bool = True) -> OsmDataset:
-    """A file, or a URL whose content is fetched first."""
+    """A file, a folder of parts, or a URL whose content is fetched first."""
     if urllib.parse.urlparse(path).scheme in ("http", "https", "ftp"):
         path = _fetch(spark, path)
-    fmt = suffix(path, ("pbf", "vex"))
-    if not os.path.exists(path):
+    if not opened.is_there(path):
+        suffix(path, ("pbf", "vex"))
         raise FileNotFoundError(path)
     register(spark)
+    whole = opened.is_file(path)
+    when = sequence = 0
+    if whole:
+        fmt = suffix(path, ("pbf", "vex"))
+        if fmt == "pbf":
+            with opened.read_from(path) as f:
+                for kind, at, n in pbf.frames(f):
+                    if kind == "OSMHeader":
+                        f.seek(at)
+                        when, sequence = pbf.read_header(pbf.inflate(f.read(n)))
+                    break
+    else:
+        with opened.read_from(f"{path}/{PARTS}") as f:
+            told = json.loads(f.read())
+        fmt, when, sequence = told["format"], told["timestamp"], told["sequence"]
 
     def one(kind: str) -> DataFrame:
-        r = spark.read.format("osmpbf" if fmt == "pbf" else "vex").option("path", path).option("entity", kind).option("limits", str(limits).lower())
+        r = spark.read.format(FORMATS[fmt]).option("path", path if whole else f"{path}/{kind}").option("entity", kind).option("limits", str(limits).lower())
         return (r.option("keys", ",".join(keys)) if keys else r).load()
 
-    when = sequence = 0
-    if fmt == "pbf":
-        with open(path, "rb") as f:
-            for kind, at, n in pbf.frames(f):
-                if kind == "OSMHeader":
-                    f.seek(at)
-                    when, sequence = pbf.read_header(pbf.inflate(f.read(n)))
-                break
     return OsmDataset(*(one(k) for k in KINDS), spark.createDataFrame([(when, sequence)], META))
 
 
+FORMATS = {"pbf": "osmpbf", "vex": "vex"}
+
+
+def save_parts(ds: OsmDataset, path: str, fmt: str, parts: int | None = None) -> None:
+    """A folder of parts, written by the tasks that hold them: ranges of ids in order. It counts as a dataset once its list is there, which comes last."""
+    register(ds.spark)
+    n = parts or int(ds.spark.conf.get("spark.sql.shuffle.partitions"))
+    if opened.is_there(f"{path}/{PARTS}"):
+        raise FileExistsError(f"{path} holds a dataset already")
+    meta = ds.meta.first()
+    when, sequence = ((meta and meta[i]) or 0 for i in (0, 1))
+    if fmt == "txt":
+        for kind, line in (("nodes", text.node_line()), ("ways", text.way_line()), ("relations", text.relation_line())):
+            _in_ranges(getattr(ds, kind), n).select(line.alias("value")).write.text(f"{path}/{kind}")
+    else:
+        for kind in KINDS:
+            _in_ranges(getattr(ds, kind), n).write.format(FORMATS[fmt]).option("path", f"{path}/{kind}").option("entity", kind).mode("overwrite").save()
+    opened.replace(f"{path}/{PARTS}", json.dumps({"format": fmt, "timestamp": when, "sequence": sequence}).encode())
+
+
+def _in_ranges(df: DataFrame, n: int) -> DataFrame:
+    return df.repartitionByRange(n, "id").sortWithinPartitions("id")
+
+
+def join_parts(path: str, target: str) -> None:
+    """One file from a folder of parts: encoded blocks, one after another, are a file of either format. Bytes are copied, not rows."""
+    with opened.read_from(f"{path}/{PARTS}") as f:
+        told = json.loads(f.read())
+    if told["format"] == "txt":
+        raise ValueError("a folder of text is plain lines: concatenate it with the tools for these")
+    with opened.write_to(target) as out:
+        if told["format"] == "pbf":
+            out.write(pbf.header(told["timestamp"], told["sequence"]))
+        for kind in KINDS:
+            for p in read_parts(f"{path}/{kind}"):
+                with opened.read_from(f"{path}/{kind}/{p['name']}") as f:
+                    while chunk := f.read(1 << 20):
+                        out.write(chunk)
+
+
 def _fetch(spark: SparkSession, url: str) -> str:
     name = os.path.basename(urllib.parse.urlparse(url).path)
     suffix(name, ("pbf", "vex"))
