@@ -65,6 +65,11 @@ def tile_range(min_lat: float, min_lon: float, max_lat: float, max_lon: float) -
     return x0, y0, x1, y1
 
 
+def is_box(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column) -> Column:
+    """Whether four columns are a box: within the globe, and not empty."""
+    return F.coalesce((min_lat >= -90) & (min_lat < max_lat) & (max_lat <= 90) & (min_lon >= -180) & (min_lon < max_lon) & (max_lon <= 180), F.lit(False))
+
+
 def parse_box(text: str) -> tuple[float, float, float, float]:
     """min lat, min lon, max lat, max lon, apart by commas or semicolons."""
     parts = text.replace(";", ",").split(",")

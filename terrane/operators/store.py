@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import META, NODES, RELATIONS, WAYS, OsmDataset
+from ..sources import folders
+from . import segments
 from .index import tile_index
 
 TABLES = {"nodes": NODES, "ways": WAYS, "relations": RELATIONS}
@@ -56,6 +58,8 @@ def save_next(ds: OsmDataset, path: str) -> int:
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> OsmDataset:
+    if folders.exists(spark, f"{path}/log"):  # a log-structured store
+        return segments.load(spark, path, version)
     v = version or max(versions(spark, path), default=0)
     if not v:
         raise FileNotFoundError(f"{path} holds no dataset")
@@ -64,6 +68,8 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> OsmDatas
 
 def load_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The tile index, laid out by xtile: a filter on tiles reads only their folders."""
+    if folders.exists(spark, f"{path}/log"):
+        return segments.load_index(spark, path, version)
     v = version or max(versions(spark, path), default=0)
     return spark.read.schema("ytile int, way_id long, xtile int").parquet(f"{path}/v{v}/tile_index").select("xtile", "ytile", "way_id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coding, tags, text, tiles
 from ..model import MEMBERS, TAGS, OsmDataset, members, way_refs
-from ..operators import analyze, changes, curve, enrich, extract, index
+from ..operators import analyze, changes, curve, enrich, extract, index, places
 from ..sources import files, folders
 from .fixtures import BOX, BOX_SQL, TILE, ctes, dataset, table, view
 
@@ -252,8 +252,8 @@ def relation_closure(spark: SparkSession, d: str) -> DataFrame:
 @query(ctes() + "SELECT CAST(row_number() OVER (ORDER BY xtile, ytile, way_id) AS BIGINT) AS place, way_id AS id FROM ext_ways JOIN tile_index USING (way_id)")
 def entity_order(spark: SparkSession, d: str) -> DataFrame:
     ds = dataset(spark, d)
-    ranked = extract.in_tile_order(extract.extract_ways(ds, BOX), _index(ds))
-    return ranked.select(F.row_number().over(Window.orderBy("xtile", "ytile", "id")).cast("long").alias("place"), "id")  # of one extract
+    placed = extract.extract_ways(ds, BOX).select("id").join(_index(ds).withColumnRenamed("way_id", "id"), "id")
+    return places.numbered(placed, ["xtile", "ytile", "id"]).select(F.col("place").cast("long").alias("place"), "id")
 
 
 @query(ctes() + "SELECT way_id AS id, xtile, ytile FROM tile_index JOIN ext_ways USING (way_id)")
@@ -446,4 +446,4 @@ def vex_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, d, "vex")
 
 
-from . import kept_current  # noqa: E402,F401  registers its queries
+from . import kept_current, values  # noqa: E402,F401  register their queries

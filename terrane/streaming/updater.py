@@ -12,7 +12,7 @@ import urllib.request
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import Timescale
@@ -86,6 +86,11 @@ def check_timestamp(when: int) -> None:
         raise ValueError(f"the store's timestamp {when} is not plausible")
 
 
+def plausible(when: Column) -> Column:
+    """The same for a column of timestamps."""
+    return F.coalesce(when.between(EARLIEST, LATEST), F.lit(False))
+
+
 def advance(spark: SparkSession, path: str, changes: DataFrame, timestamp: int | None, sequence: int | None) -> None:
     """A next version of the store with the changes; its metadata is written last."""
     store.save_next(apply_changes(store.load(spark, path), changes, timestamp, sequence), path)
