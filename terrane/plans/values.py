@@ -139,7 +139,7 @@ def nodes_looked_up(spark: SparkSession, d: str) -> DataFrame:
     path = folders.shared(spark, "vex").removeprefix("file://").removeprefix("file:")
     ds = dataset(spark, d)
     files.save_parts(OsmDataset(ds.nodes, ds.ways.limit(0), ds.relations.limit(0), ds.meta), path, "vex")
-    asked = ds.nodes.where("id % 1000 = 1 or id % 100000 = 99999").select("id").unionByName(ds.nodes.select((-F.col("id")).alias("id")))
+    asked = ds.nodes.where("id % 1000 = 1 or id % 100000 = 99999").select("id").unionByName(ds.nodes.select((-1 - F.col("id")).alias("id")))
     return formats.look_up(spark, f"{path}/nodes", "nodes", asked).select("id", "fixed_lat", "fixed_lon")
 
 
