@@ -2,11 +2,12 @@
 
 Base kinds (assign, access, hex) are pattern matches, leftmost and non-overlapping for each kind. The method adds
 kinds whose values carry a checksum: github and npm tokens (CRC-32 in base 62), card (Luhn) and iban (modulo 97).
-Hex, cards and IBANs have no keyword: they are searched in whole texts, where a count of their characters allows one.
+Hex, cards and IBANs have no keyword: they are searched in whole texts, where a count of their characters allows one. A card's digits may
+stand beside others: from each digit that follows none, all lengths that end before a blank, a hyphen or no digit are tried, the longest first.
 Spans are code points, end exclusive. Each document is scanned on its own, in one pass without a shuffle.
 
 Defined results: null and empty texts have no spans (the digest of the empty string); repeated rows are each
-scanned; an empty table gives an empty result; extra columns are ignored.
+scanned; very long texts are whole values in one task's memory; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 GITHUB = r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"
 NPM = r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9])*"  # 13 to 19 digits of it are a card
+CARD_DIGITS = (13, 19)
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm"}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -66,6 +68,24 @@ def iban_ok(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def cards(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of 13 to 19 digits, each with at most one blank or hyphen before the next, that pass Luhn; leftmost, then longest. None begins or ends within a run of digits."""
+    low, high = CARD_DIGITS
+    for m in _card.finditer(text):
+        places = [i for i in range(m.start(), m.end()) if text[i] not in " -"]
+        starts = [k for k, i in enumerate(places) if not k or places[k - 1] != i - 1]
+        free = 0
+        for k in starts:
+            if k < free:
+                continue
+            for n in range(min(high, len(places) - k), low - 1, -1):
+                last = k + n - 1
+                if (last + 1 == len(places) or places[last + 1] != places[last] + 1) and luhn_ok("".join(text[i] for i in places[k : last + 1])):
+                    yield places[k], places[last] + 1
+                    free = last + 1
+                    break
+
+
 def automaton():
     import ahocorasick
 
@@ -94,8 +114,10 @@ def scan(text: str, keywords) -> list[tuple[int, int, int]]:
             out.append((at, KINDS.index(kind), m.end()))
     if b"h" * 24 in raw.translate(_hexish):
         out += [(m.start(), 2, m.end()) for m in _hex.finditer(text)]
-    if raw.translate(_digits).count(b"d") >= 13:
-        out += [(m.start(), 5, m.end()) for m in _card.finditer(text) if luhn_ok(re.sub("[ -]", "", m[0]))]
+    digits = raw.translate(_digits).count(b"d")
+    if digits >= CARD_DIGITS[0]:
+        out += [(a, 5, b) for a, b in cards(text)]
+    if digits >= 2:
         out += [(m.start(), 6, m.end()) for m in _iban.finditer(text) if iban_ok(m[0])]
     return sorted(out)
 
