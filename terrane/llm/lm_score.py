@@ -563,7 +563,7 @@ def _rate(packed: list[bytes], weights: np.ndarray, seen: np.ndarray, starts: di
             fresh = [words[i] for i in new.tolist()]
             told = np.where(start[new] < len(starts), 2, 0)
             for part in _chunks(fresh):
-                lp[new[part]] += np.maximum(speller.log10(fresh[part], told[part]), -280)
+                lp[new[part]] += speller.log10(fresh[part], told[part])
             yield pa.RecordBatch.from_arrays([column.cast(pa.binary()), pa.array(c.astype(np.int64), pa.int64()), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
 
     return run
