@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import zlib
 from types import SimpleNamespace
 
 import numpy as np
@@ -119,6 +120,19 @@ def test_lm_scores_do_not_hang_on_partitions(spark):
     assert scores[0][100] > 50 * scores[0][99]  # a text learns its own new words
 
 
+def test_lm_long_words_cost_as_much_a_byte_as_short_ones(spark):
+    """Random letters of a held-out text, at any length: no floor makes a long word look predictable."""
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, " ".join(word(r.randrange(3, 60)) for _ in range(40))) for i in range(1000) if i not in set(held)][:150]
+    asked = dict(zip(held, (60, 1000, 20_000, 200_000)))
+    got = {x["doc_id"]: x["bits_per_byte"] for x in lm_score.score_documents(frame(spark, rows + [(i, word(n)) for i, n in asked.items()])).collect()}
+    assert all(4.5 < got[i] < 7.5 for i in asked)
+    assert abs(got[held[3]] - got[held[1]]) < 1
+
+
 def test_lm_mixers_learn_from_all_that_trains(spark, monkeypatch):
     """Every bit of every training token, and every word seen once: more documents and words than a lesson of fixed size would have."""
     rows = [(i, " ".join([f"{i}x{j}" for j in range(50)] + ["of", "the"] * 3)) for i in range(1000)]
@@ -514,6 +528,37 @@ def test_secrets(spark):
     assert secret_scan.scan(" ".join(card), secret_scan.automaton()) == [(0, secret_scan.KINDS.index("card"), 31)]
 
 
+def test_cards_and_ibans_beside_other_characters():
+    keywords = secret_scan.automaton()
+    found = lambda text: [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.scan(text, keywords)]
+    assert found("MT86MALT01100ABCDEFGHIJKLMNOPQR") == [("iban", "MT86MALT01100ABCDEFGHIJKLMNOPQR")]
+    assert found("20 4111111111111111") == [("card", "4111111111111111")]
+    assert found("1 4111 1111 1111 1111 22") == [("card", "4111 1111 1111 1111")]
+    assert found("94111111111111111") == [] == found("0" * 16)
+
+    def plain(text):
+        """Every start and length, leftmost and then longest."""
+        out, at = [], 0
+        while at < len(text):
+            for end in range(min(len(text), at + 37), at, -1):
+                t = text[at:end]
+                n = sum(c.isdigit() for c in t)
+                whole = (at == 0 or not text[at - 1].isdigit()) and (end == len(text) or not text[end].isdigit())
+                if t[0].isdigit() and t[-1].isdigit() and 13 <= n <= 19 and whole and re.fullmatch("[0-9](?:[ -]?[0-9])*", t) and secret_scan.luhn_ok(re.sub("[ -]", "", t)):
+                    out.append((at, end))
+                    at = end - 1
+                    break
+            at += 1
+        return out
+
+    r, total = random.Random(8), 0
+    for _ in range(600):
+        text = "".join(r.choice(["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "12", "7", " ", " ", "-", "x", "  ", "340000000000009"]) for _ in range(r.randrange(12)))
+        assert list(secret_scan.cards(text)) == plain(text)
+        total += len(plain(text))
+    assert total > 300
+
+
 def test_secrets_against_plain_patterns():
     """Base spans of random texts, against each pattern searched over the whole text."""
     r = random.Random(11)
