@@ -26,7 +26,8 @@ Word counts grow with the corpus; only tables of bounded size and FREQUENT words
 Defined results: null text is empty text (one token, the end); a null doc_id trains (its crc32 is that of empty text)
 and is returned as null; repeated rows are each counted and scored; with no training rows all counts are zero and
 the base is 0 for each token; an empty table gives an empty result. Very long texts are scored in segments, with contexts
-carried on. Extra columns are ignored.
+carried on. Extra columns are ignored. Words of equal counts go in byte order. A word that training has seen once, and that is not frequent, is priced
+by its count in the text that it is from too, so that its own occurrence counts; a new word costs what its spelling costs, at any length.
 """
 
 from __future__ import annotations
