@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from ..sources import folders
+
 
 def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrane-"))
+        spark.sparkContext.setCheckpointDir(folders.shared(spark, "cut"))
     return df.checkpoint()

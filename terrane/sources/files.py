@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import json
 import os
-import tempfile
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import text
 from ..model import META, OsmDataset
-from . import opened, pbf, vex
+from . import folders, opened, pbf, vex
 from .formats import KINDS, PARTS, read_parts, register
 from .rows import from_batch
 
@@ -103,11 +102,8 @@ def join_parts(path: str, target: str) -> None:
 def _fetch(spark: SparkSession, url: str) -> str:
     name = os.path.basename(urllib.parse.urlparse(url).path)
     suffix(name, ("pbf", "vex"))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = shared.removeprefix("file://") if shared and (shared.startswith(("/", "file:"))) else tempfile.mkdtemp()
-    os.makedirs(folder, exist_ok=True)
-    path = tempfile.mkdtemp(dir=folder) + "/" + name
-    with urllib.request.urlopen(url) as src, open(path, "wb") as out:  # noqa: S310
+    path = f"{folders.shared(spark, 'fetched')}/{name}"
+    with urllib.request.urlopen(url) as src, opened.write_to(path) as out:  # noqa: S310
         while chunk := src.read(1 << 20):
             out.write(chunk)
     return path
@@ -157,12 +153,8 @@ def encode_bytes(ds: OsmDataset, fmt: str) -> bytes:
 
 
 def decode_bytes(spark: SparkSession, fmt: str, data: bytes) -> OsmDataset:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = shared.removeprefix("file://") if shared and shared.startswith(("/", "file:")) else None
-    if folder:
-        os.makedirs(folder, exist_ok=True)
-    path = tempfile.mkdtemp(dir=folder) + "/stream." + suffix("." + fmt, ("pbf", "vex"))
-    with open(path, "wb") as f:
+    path = f"{folders.shared(spark, 'stream')}/stream." + suffix("." + fmt, ("pbf", "vex"))
+    with opened.write_to(path) as f:
         f.write(data)
     return load_osm(spark, path)
 

@@ -23,7 +23,7 @@ def write_to(path: str):
     folder = p.rpartition("/")[0]
     if folder:
         system.create_dir(folder, recursive=True)
-    return system.open_output_stream(p)
+    return system.open_output_stream(p, compression=None)  # bytes as they are, whatever the suffix
 
 
 def is_file(path: str) -> bool:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import gzip
-import os
 import re
-import tempfile
 import time
 import urllib.error
 import urllib.request
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import Timescale
 from ..operators import store
 from ..operators.changes import CHANGES, apply_changes
+from ..sources import folders, opened
 from ..sources.osmchange import changes_of, parse, parse_state, sequence_of
 
 EARLIEST, LATEST = 1430438400, 4105123200  # 2015-05-01 and 2100-02-01: a store's timestamp outside is not believed
@@ -102,28 +101,18 @@ def apply_diffs(spark: SparkSession, path: str, fetch: Fetch, diffs: Iterable[Di
     diffs = list(diffs)
     if not diffs:
         return 0
-    folder = tempfile.mkdtemp(dir=_shared(spark))
+    folder = folders.shared(spark, "diffs")
     for d in diffs:
         raw = fetch(f"{d.timescale.lower()}/{path_of(d.sequence)}.osc.gz")
         if raw is None:
             raise LookupError(f"diff {d.sequence} of {d.timescale.lower()} is missing")
-        at = f"{folder}/{path_of(d.sequence)}.osc.gz"
-        os.makedirs(os.path.dirname(at), exist_ok=True)
-        with open(at, "wb") as f:
+        with opened.write_to(f"{folder}/{path_of(d.sequence)}.osc.gz") as f:
             f.write(raw)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     advance(spark, path, changes_of(files), diffs[-1].timestamp, diffs[-1].sequence)
     return len(diffs)
 
 
-def _shared(spark: SparkSession) -> str | None:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named.removeprefix("file://") if named and named.startswith(("/", "file:")) else None
-    if folder:
-        os.makedirs(folder, exist_ok=True)
-    return folder
-
-
 def catch_up(spark: SparkSession, path: str, fetch: Fetch, now: float | None = None) -> int:
     """Days if the store is more than a day behind, then hours, then minutes."""
     when = store.load(spark, path).timestamp()
