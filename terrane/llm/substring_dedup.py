@@ -9,8 +9,8 @@ Only some suffixes need sorting. Every window holds an anchor, the SEED-byte str
 hold it at the same place. An anchor with all that windows around it can reach is its context (WINDOW - SEED bytes to
 the left, WINDOW from its start on). Documents travel in blocks:
 
-1. Blocks find their anchors. Of equal contexts in a block only the first in the least document goes on (the others
-   are resolved there), as 80 bits of hash, dealt by the anchor's hash.
+1. Blocks find their anchors, once: their places are kept. Of equal contexts in a block, compared byte by byte, only
+   the first in the least document goes on (the others are resolved there), as 80 bits of hash, dealt by the anchor's hash.
 2. Where anchors meet, a context that a smaller document has too is resolved: all its windows are covered. Anchors
    with several contexts are sent for, each context once.
 3. Blocks send these contexts, some in a hundred bytes of the input.
@@ -18,12 +18,13 @@ the left, WINDOW from its start on). Documents travel in blocks:
    the right and one to the left; it is covered if the least document with both is smaller than its own.
 5. Blocks gather what is covered.
 
-So a hot passage costs one row a block, and texts move three times, compressed. Two different contexts of one anchor
-hash to the same 80 bits about once in 10**24 pairs.
+So a hot passage costs one row a block, and texts move three times, compressed. Contexts in different blocks are held
+equal by their 80 bits, which two different ones share about once in 10**24 pairs.
 
 Defined results: null text is empty text; texts shorter than WINDOW keep all bytes; a null doc_id counts as larger
 than any other, and rows of one doc_id (null too) are not earlier than each other, so repeated rows keep what no
-smaller doc_id has; an empty table gives an empty result. Extra columns are ignored.
+smaller doc_id has; an empty table gives an empty result; a very long text is one row of a block of its own size, hashed
+a SEGMENT at a time. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from .scratch import drop, stash
 WINDOW, SEED = 50, 20
 LEFT = WINDOW - SEED
 BLOCK, SEGMENT = 8 << 20, 1 << 18  # bytes of text in a block; bytes hashed at a time
-BUCKET = 1 << 20  # bytes of text for each bucket of anchors; small sorts stay in the cache
+BUCKET = 4 << 20  # bytes of text for each bucket of anchors
 LAST = np.iinfo(np.int64).max
 LOW40 = np.uint64((1 << 40) - 1)
 
@@ -126,25 +127,62 @@ class Anchors:
         return at, seed[one], around[one]
 
 
+def _ranks(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Numbers in the order of ids; a null id, which is LAST here, comes after a real one of that value."""
+    return np.unique(ids, return_inverse=True)[1] + null if null.any() else ids
+
+
 class Block:
-    """A block's documents and, of its anchors, who stands for whom."""
+    """A block's documents."""
 
-    def __init__(self, payload: bytes, anchors: Anchors):
+    def __init__(self, payload: bytes):
         table = pa.ipc.open_stream(payload).read_all().combine_chunks()
-        self.ids, text = table["id"].combine_chunks().to_numpy(), table["text"].combine_chunks()
+        self.ids, self.null, text = table["id"].combine_chunks().to_numpy(), table["null"].combine_chunks().to_numpy(), table["text"].combine_chunks()
+        self.rank = _ranks(self.ids, self.null)
         self.bounds = np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1]
         self.data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[: self.bounds[-1]]
-        self.at, self.seed, self.around = anchors.find(self.data, self.bounds)
-        self.doc = np.searchsorted(self.bounds[1:], self.at, side="right")
-        # Equal contexts: the first in the least document stands for those of its doc_id; the others are resolved.
-        key = self.seed * np.uint64(0x9E3779B97F4A7C15) ^ self.around
-        order = np.lexsort((self.at, self.ids[self.doc], key))
+
+    def documents(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds[1:], at, side="right")
+
+    def reach(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that contexts have to the left of their anchors' places, and from there on."""
+        return np.minimum(at - self.bounds[:-1][doc], LEFT), np.minimum(self.bounds[1:][doc] - at, WINDOW)
+
+    def contexts(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Bytes of contexts, zeros where they end."""
+        padded = np.pad(self.data, (LEFT, WINDOW))
+        text = np.lib.stride_tricks.sliding_window_view(padded, LEFT + WINDOW)[at]
+        cut = np.flatnonzero((left < LEFT) | (right < WINDOW))
+        reach = np.arange(-LEFT, WINDOW)
+        text[cut] *= (reach >= -left[cut, None]) & (reach < right[cut, None])
+        return text
+
+    def stand_ins(self, at: np.ndarray, seed: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """Of equal contexts, the first in the least document stands for the others; where only the hash is equal, each for itself."""
+        doc = self.documents(at)
+        key = seed * np.uint64(_base) ^ around
+        order = np.lexsort((at, self.rank[doc], key))
         new = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.zeros(0, bool)
-        head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-        self.stands = np.empty(len(order), np.int64)
-        self.stands[order] = head
-        self.resolved = self.ids[self.doc] > self.ids[self.doc[self.stands]]
-        self.chosen = np.flatnonzero(self.stands == np.arange(len(order)))
+        stands = np.arange(len(order))
+        if len(order):
+            stands[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        others = np.flatnonzero(stands != np.arange(len(stands)))
+        for lo in range(0, len(others), SEGMENT):
+            some = others[lo : lo + SEGMENT]
+            left, right = self.reach(at[some], doc[some])
+            left_, right_ = self.reach(at[stands[some]], doc[stands[some]])
+            same = (left == left_) & (right == right_) & (self.contexts(at[some], left, right) == self.contexts(at[stands[some]], left_, right_)).all(axis=1)
+            stands[some[~same]] = some[~same]
+        return stands
+
+
+def _seed_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the seeds at places, as Anchors has them."""
+    powers, total = _powers(_inverse, SEED), np.zeros(len(at), np.uint64)
+    for j in range(SEED):
+        total += _value[data[at + j]] * powers[j]
+    return _mix(total)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +193,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         nonlocal n, ids, texts, size
-        table = pa.table({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
+        table = pa.table({"id": pa.array([LAST if i is None else i for i in ids], pa.int64()), "null": pa.array([int(i is None) for i in ids], pa.int8()), "text": pa.array(texts, pa.large_binary())})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
             out.write_table(table)
@@ -166,7 +204,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            ids.append(LAST if i is None else i)
+            ids.append(i)
             texts.append(raw)
             size += len(raw)
             if size >= BLOCK:
@@ -217,17 +255,34 @@ def _rows(block: int, which: np.ndarray, buckets: np.ndarray, make) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([block] * len(names), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
 
 
-def _send_anchors(buckets: int):
+def _find_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of anchors by bucket; in bucket -1 the places of all, and who stands for whom."""
         anchors = Anchors()
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b = Block(payload.as_buffer().to_pybytes(), anchors)
-                yield _rows(block, b.chosen, _bucket(b.seed[b.chosen], buckets), lambda w: _pack(_forty(b.seed[w] & LOW40), _forty(b.around[w] >> np.uint64(24)), w.astype("<u4"), np.diff(b.ids[b.doc[w]], prepend=0).astype("<i8")))
+                b = Block(payload.as_buffer().to_pybytes())
+                at, seed, around = anchors.find(b.data, b.bounds)
+                stands = b.stand_ins(at, seed, around)
+                doc, own = b.documents(at), np.arange(len(at))
+
+                def make(w, b=b, seed=seed, around=around, doc=doc):
+                    return _pack(_forty(seed[w] & LOW40), _forty(around[w] >> np.uint64(24)), w.astype("<u4"), np.diff(b.ids[doc[w]], prepend=0).astype("<i8"), b.null[doc[w]])
+
+                chosen = np.flatnonzero(stands == own)
+                yield _rows(block, chosen, _bucket(seed[chosen], buckets), make)
+                places = _pack(np.diff(at, prepend=0).astype("<u4"), (own - stands).astype("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([block], pa.int64()), pa.array([places], pa.binary())], names=["bucket", "block", "blob"])
 
     return run
 
 
+def _places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a block's anchors, and who stands for whom."""
+    gaps, back = _unpack(blob, ("<u4", 4), ("<i4", 4))
+    return np.cumsum(gaps, dtype=np.int64), np.arange(len(back)) - back
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
     """Rows come sorted by bucket."""
     now, rows = None, []
@@ -257,10 +312,11 @@ def _answers(parts: list[int], counts: list[int], hold: np.ndarray, *values: np.
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For anchors: 1 if a smaller document has the context, 2 if the context is wanted."""
     for _, rows in _by_bucket(batches):
-        got = [_unpack(blob, ("bytes", 5), ("bytes", 5), ("<u4", 4), ("<i8", 8)) for _, blob in rows]
+        got = [_unpack(blob, ("bytes", 5), ("bytes", 5), ("<u4", 4), ("<i8", 8), ("|i1", 1)) for _, blob in rows]
         counts = [len(g[2]) for g in got]
         seed, around = _wide(np.concatenate([g[0] for g in got])), _wide(np.concatenate([g[1] for g in got]))
-        place, doc = np.concatenate([g[2] for g in got]), np.concatenate([np.cumsum(g[3]) for g in got])
+        place = np.concatenate([g[2] for g in got])
+        doc = _ranks(np.concatenate([np.cumsum(g[3]) for g in got]), np.concatenate([g[4] for g in got]))
         order = np.lexsort((doc, around, seed))
         s, c, d = seed[order], around[order], doc[order]
         new_seed = np.r_[True, s[1:] != s[:-1]]
@@ -280,45 +336,49 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _send_contexts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors()
         for batch in batches:
-            for block, payload, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for block, payload, places, answers in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3))):
                 wanted = [_unpack(a.as_buffer().to_pybytes(), ("<u4", 4), ("|u1", 1)) for a in answers.values]
                 which = np.concatenate([p[s == 2] for p, s in wanted]).astype(np.int64)
                 if not len(which):
                     continue
-                b = Block(payload.as_buffer().to_pybytes(), anchors)
+                b = Block(payload.as_buffer().to_pybytes())
+                at, _ = _places(places.as_buffer().to_pybytes())
                 which.sort()
+                at = at[which]
+                doc = b.documents(at)
+                left, right = b.reach(at, doc)
+                text = b.contexts(at, left, right)
 
-                def make(w, b=b):
-                    at, d = b.at[w], b.doc[w]
-                    left = np.minimum(at - b.bounds[:-1][d], LEFT)
-                    right = np.minimum(b.bounds[1:][d] - at, WINDOW)
-                    reach = np.arange(-LEFT, WINDOW)
-                    text = b.data[np.clip(at[:, None] + reach, 0, len(b.data) - 1)]
-                    text = np.where((reach >= -left[:, None]) & (reach < right[:, None]), text, 0).astype(np.uint8)
-                    return _pack(text, left.astype("|u1"), right.astype("|u1"), w.astype("<u4"), np.diff(b.ids[d], prepend=0).astype("<i8"))
+                def make(i, b=b, doc=doc, left=left, right=right, text=text, which=which):
+                    return _pack(text[i], left[i].astype("|u1"), right[i].astype("|u1"), which[i].astype("<u4"), np.diff(b.ids[doc[i]], prepend=0).astype("<i8"), b.null[doc[i]])
 
-                yield _rows(block, which, _bucket(b.seed[which], buckets), make)
+                yield _rows(block, np.arange(len(which)), _bucket(_seed_hashes(b.data, at), buckets), make)
 
     return run
 
 
 class Suffixes:
-    """Sorted rows of symbols, each row a suffix cut at its width; common prefixes of neighbours."""
+    """Rows of symbols, each a suffix cut at its width, sorted within groups of rows; common prefixes of neighbours, -1 between groups."""
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray, group: np.ndarray | None = None):
         self.rows, n, self.width = rows, len(rows), rows.shape[1]
+        group = np.zeros(n, np.int64) if group is None else group
         total = np.zeros((n, self.width + 1), np.uint64)
         np.cumsum(_value[rows] * _powers(_inverse, self.width), axis=1, out=total[:, 1:])
         self.total = total
-        self.order = self._mergesort()
-        a, b = self.order[:-1], self.order[1:]
-        self.common = self.extent(a, b)
-        equal = np.cumprod(rows[a] == rows[b], axis=1).sum(axis=1) if n > 1 else np.zeros(0, np.int64)
+        self.order = self._mergesort(group)
+        self.common = self.extent(self.order[:-1], self.order[1:])
+        equal = self._equal()
         if (equal != self.common).any():  # a hash collided: sort by the symbols themselves
-            self.order = np.lexsort(rows.T[::-1])
-            self.common = np.cumprod(rows[self.order[:-1]] == rows[self.order[1:]], axis=1).sum(axis=1)
+            self.order = np.lexsort((*rows.T[::-1], group))
+            self.common = self._equal()
+        self.common = np.where(group[self.order[1:]] == group[self.order[:-1]], self.common, -1)
+
+    def _equal(self) -> np.ndarray:
+        """Symbols that neighbours have in common, by the symbols themselves."""
+        differ = self.rows[self.order[:-1]] != self.rows[self.order[1:]]
+        return np.where(differ.any(axis=1), differ.argmax(axis=1), self.width)
 
     def extent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of rows a and b, by binary search over prefix hashes."""
@@ -335,27 +395,31 @@ class Suffixes:
         at = np.minimum(n, self.width - 1)
         return (n < self.width) & (self.rows[a, at] < self.rows[b, at])
 
-    def _mergesort(self) -> np.ndarray:
+    def _mergesort(self, group: np.ndarray) -> np.ndarray:
         """Runs of doubling length are merged, all pairs of runs at once: a row's place is its own plus its rank in the other run."""
-        n = len(self.rows)
-        order, run, index = np.arange(n), 1, np.arange(n)
-        while run < n:
-            pair = index // (2 * run) * (2 * run)
+        n, run = len(self.rows), 1
+        order = np.argsort(group, kind="stable")
+        new = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]) if n else np.zeros(0, np.int64)
+        size = np.diff(new, append=n)
+        first, until = np.repeat(new, size), np.repeat(new + size, size)
+        index = np.arange(n)
+        while (index := index[until[index] - first[index] > run]).size:
+            pair = first[index] + (index - first[index]) // (2 * run) * (2 * run)
             second = index - pair >= run
-            low = np.where(second, pair, np.minimum(pair + run, n))
-            high = np.where(second, pair + run, np.minimum(pair + 2 * run, n))
+            low = np.where(second, pair, np.minimum(pair + run, until[index]))
+            high = np.where(second, pair + run, np.minimum(pair + 2 * run, until[index]))
             start = low.copy()
             while (open_ := np.flatnonzero(low < high)).size:
                 mid = (low[open_] + high[open_]) >> 1
-                mine, other = order[open_], order[mid]
+                mine, other, behind = order[index[open_]], order[mid], second[open_]
                 # From the first run, go before equals of the second; from the second, behind equals of the first.
-                further = np.where(second[open_], ~self.before(mine, other), self.before(other, mine))
+                less = self.before(np.where(behind, mine, other), np.where(behind, other, mine))
+                further = less != behind
                 low[open_] = np.where(further, mid + 1, low[open_])
                 high[open_] = np.where(further, high[open_], mid)
             place = np.where(second, index - run, index) + low - start
-            merged = np.empty(n, np.int64)
-            merged[place] = order
-            order, run = merged, run * 2
+            order[place] = order[index]
+            run *= 2
         return order
 
     def intervals(self, depth: int) -> np.ndarray:
@@ -364,63 +428,74 @@ class Suffixes:
         out[self.order] = np.r_[0, np.cumsum(self.common < depth)] if len(self.rows) else []
         return out
 
+    def longest(self) -> np.ndarray:
+        """For each row the longest prefix that it has in common with another of its group."""
+        out = np.empty(len(self.rows), np.int64)
+        out[self.order] = np.maximum(np.r_[-1, self.common], np.r_[self.common, -1]) if len(self.rows) else []
+        return out
+
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For contexts: which of the windows around the anchor a smaller document has; bit i is the window i bytes to its left."""
     for _, rows in _by_bucket(batches):
-        got = [_unpack(blob, ("bytes", LEFT + WINDOW), ("|u1", 1), ("|u1", 1), ("<u4", 4), ("<i8", 8)) for _, blob in rows]
+        got = [_unpack(blob, ("bytes", LEFT + WINDOW), ("|u1", 1), ("|u1", 1), ("<u4", 4), ("<i8", 8), ("|i1", 1)) for _, blob in rows]
         counts = [len(g[3]) for g in got]
         text = np.concatenate([g[0] for g in got]).astype(np.int16)
         left, right = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in (1, 2))
-        place, doc = np.concatenate([g[3] for g in got]), np.concatenate([np.cumsum(g[4]) for g in got])
+        place = np.concatenate([g[3] for g in got])
+        doc = _ranks(np.concatenate([np.cumsum(g[4]) for g in got]), np.concatenate([g[5] for g in got]))
         reach = np.arange(-LEFT, WINDOW)
         text[(reach < -left[:, None]) | (reach >= right[:, None])] = 256
-        forward, backward = Suffixes(text[:, LEFT:]), Suffixes(text[:, :LEFT][:, ::-1])
+        # Only contexts of one anchor have windows in common at its place.
+        _, anchor = np.unique((_value[text[:, LEFT : LEFT + SEED]] * _powers(_inverse, SEED)).sum(axis=1), return_inverse=True)
+        forward, backward = Suffixes(text[:, LEFT:], anchor), Suffixes(text[:, :LEFT][:, ::-1], anchor)
+        ahead, behind = np.minimum(forward.longest(), right), np.minimum(backward.longest(), left)
         mask = np.zeros(len(doc), np.uint64)
         for i in range(LEFT + 1):
-            there = np.flatnonzero((left >= i) & (right >= WINDOW - i))
+            there = forward.order[(behind >= i)[forward.order] & (ahead >= WINDOW - i)[forward.order]]
             if not len(there):
                 continue
             key = forward.intervals(WINDOW - i)[there] * len(doc) + backward.intervals(i)[there]
-            order = np.lexsort((doc[there], key))
-            new = np.r_[True, key[order][1:] != key[order][:-1]]
-            d = doc[there][order]
-            mask[there[order[d > d[np.flatnonzero(new)][np.cumsum(new) - 1]]]] |= np.uint64(1 << i)
+            order = np.argsort(key, kind="stable")  # in order already, but for the second part
+            start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            d = doc[there[order]]
+            least = np.repeat(np.minimum.reduceat(d, start), np.diff(start, append=len(d)))
+            mask[there[order[d > least]]] |= np.uint64(1 << i)
         yield _answers([b for b, _ in rows], counts, mask > 0, place, mask)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    anchors = Anchors()
     for batch in batches:
-        for payload, answers, masks in zip(batch.column(1), batch.column(2), batch.column(3)):
-            b = Block(payload.as_buffer().to_pybytes(), anchors)
-            full = b.resolved.copy()
-            mask = np.zeros(len(b.at), np.uint64)
+        for payload, places, answers, masks in zip(*(batch.column(i) for i in (1, 2, 3, 4))):
+            b = Block(payload.as_buffer().to_pybytes())
+            at, stands = _places(places.as_buffer().to_pybytes())
+            d = b.documents(at)
+            full = b.rank[d] > b.rank[d[stands]]
+            mask = np.zeros(len(at), np.uint64)
             for a in answers.values or []:
                 p, s = _unpack(a.as_buffer().to_pybytes(), ("<u4", 4), ("|u1", 1))
                 full[p[s == 1]] = True
             for a in masks.values or []:
                 p, m = _unpack(a.as_buffer().to_pybytes(), ("<u4", 4), ("<u8", 8))
                 mask[p] = m
-            full |= full[b.stands]
-            mask = mask[b.stands]
-            d = b.doc
-            begin, end = np.maximum(b.at - LEFT, b.bounds[:-1][d]), np.minimum(b.at + WINDOW, b.bounds[1:][d])
-            full &= end - begin >= WINDOW
+            full |= full[stands]
+            mask = mask[stands]
+            left, right = b.reach(at, d)
+            full &= left + right >= WINDOW
             step = np.zeros(len(b.data) + 1, np.int32)
-            np.add.at(step, begin[full], 1)
-            np.add.at(step, end[full], -1)
+            np.add.at(step, (at - left)[full], 1)
+            np.add.at(step, (at + right)[full], -1)
             some = np.flatnonzero((mask > 0) & ~full)
             for i in range(LEFT + 1):
-                mine = b.at[some[(mask[some] >> np.uint64(i)) & np.uint64(1) > 0]] - i
+                mine = at[some[(mask[some] >> np.uint64(i)) & np.uint64(1) > 0]] - i
                 np.add.at(step, mine, 1)
                 np.add.at(step, mine + WINDOW, -1)
             gone = np.cumsum(step[:-1]) > 0
             out = []
-            for doc, s, e in zip(b.ids.tolist(), b.bounds[:-1].tolist(), b.bounds[1:].tolist()):
+            for doc, null, s, e in zip(b.ids.tolist(), b.null.tolist(), b.bounds[:-1].tolist(), b.bounds[1:].tolist()):
                 g = gone[s:e]
                 edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
-                out.append((None if doc == LAST else doc, e - s, [{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())], b.data[s:e][~g].tobytes()))
+                out.append((None if null else doc, e - s, [{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())], b.data[s:e][~g].tobytes()))
                 if len(out) == 2000:
                     yield _result(out)
                     out = []
@@ -462,9 +537,12 @@ def _remove_repeats(docs: DataFrame) -> DataFrame:
     def answered(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("block").agg(F.collect_list("blob").alias(name))
 
-    met = stash(dealt(blocks.select("block", "payload").mapInArrow(_send_anchors(buckets), row)).mapInArrow(_meet, "block long, blob binary"), "anchor-answers")
-    wanted = blocks.select("block", "payload").join(answered(met, "answers"), "block").select("block", "payload", "answers")
+    found = stash(blocks.select("block", "payload").mapInArrow(_find_anchors(buckets), row), "anchors")
+    held = blocks.select("block", "payload").join(found.where("bucket = -1").select("block", F.col("blob").alias("places")), "block")
+    met = stash(dealt(found.where("bucket >= 0")).mapInArrow(_meet, "block long, blob binary"), "anchor-answers")
+    wanted = held.join(answered(met, "answers"), "block").select("block", "payload", "places", "answers")
     masks = stash(dealt(wanted.mapInArrow(_send_contexts(buckets), row)).mapInArrow(_compare, "block long, blob binary"), "context-answers")
-    out = stash(blocks.select("block", "payload").join(answered(met, "answers"), "block", "left").join(answered(masks, "masks"), "block", "left").select("block", "payload", "answers", "masks").mapInArrow(_remove, SCHEMA), "kept-bytes")
-    drop(blocks, met, masks)
+    told = held.join(answered(met, "answers"), "block", "left").join(answered(masks, "masks"), "block", "left")
+    out = stash(told.select("block", "payload", "places", "answers", "masks").mapInArrow(_remove, SCHEMA), "kept-bytes")
+    drop(blocks, found, met, masks)
     return out

@@ -407,6 +407,35 @@ def test_substrings(spark, corpus, monkeypatch):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substrings_of_the_largest_id(spark):
+    """A real id of 2**63 - 1 stays one, and is smaller than null."""
+    text, top = "".join(chr(97 + i * i % 23) for i in range(90)), (1 << 63) - 1
+    for rows in ([(None, text), (top, "q" + text)], [(top, "q" + text), (None, text), (None, text), (-top - 1, text[:60])]):
+        got = substring_dedup.remove_repeats(frame(spark, rows, parts=1)).collect()
+        same([(q["doc_id"], q["n_bytes"], sum(s["end"] - s["start"] for s in q["spans"]), len(q["spans"]), brute.sha(bytes(q["kept"]))) for q in got], brute.substrings(rows))
+
+
+def test_equal_hashes_of_contexts_are_held_against_the_bytes():
+    texts = [b"a" * 30 + bytes(range(65, 115)), b"b" * 30 + bytes(range(65, 115)), b"a" * 30 + bytes(range(65, 115))]
+    table = pa.table({"id": pa.array([1, 2, 3], pa.int64()), "null": pa.array([0, 0, 0], pa.int8()), "text": pa.array(texts, pa.large_binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    b = substring_dedup.Block(sink.getvalue().to_pybytes())
+    one = np.ones(3, np.uint64)  # the same hashes for all
+    assert b.stand_ins(np.array([30, 110, 190]), one, one).tolist() == [0, 1, 0]
+
+
+def test_suffix_sort_in_groups():
+    r = np.random.default_rng(1)
+    rows, group = r.integers(0, 2, (300, 7)).astype(np.int16), r.integers(0, 40, 300)
+    s = substring_dedup.Suffixes(rows, group)
+    assert [(g, *x) for g, x in zip(group[s.order], rows[s.order].tolist())] == sorted((g, *x) for g, x in zip(group, rows.tolist()))
+    assert len(set(s.intervals(3))) == len({(g, *x[:3]) for g, x in zip(group, rows.tolist())})
+    common = lambda i, j: -1 if i == j or group[i] != group[j] else next((k for k in range(7) if rows[i, k] != rows[j, k]), 7)
+    assert s.longest().tolist() == [max(common(i, j) for j in range(300)) for i in range(300)]
+
+
 def test_suffix_sort():
     r = np.random.default_rng(0)
     rows = r.integers(0, 2, (200, 9)).astype(np.int16)
