@@ -42,6 +42,7 @@ from .scratch import drop, stash
 WINDOW, SEED = 50, 20
 LEFT = WINDOW - SEED
 BLOCK, SEGMENT = 8 << 20, 1 << 18  # bytes of text in a block; bytes hashed at a time
+COMPARED = 1 << 15  # contexts compared at a time
 BUCKET = 4 << 20  # bytes of text for each bucket of anchors
 LAST = np.iinfo(np.int64).max
 LOW40 = np.uint64((1 << 40) - 1)
@@ -168,8 +169,8 @@ class Block:
         if len(order):
             stands[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
         others = np.flatnonzero(stands != np.arange(len(stands)))
-        for lo in range(0, len(others), SEGMENT):
-            some = others[lo : lo + SEGMENT]
+        for lo in range(0, len(others), COMPARED):
+            some = others[lo : lo + COMPARED]
             left, right = self.reach(at[some], doc[some])
             left_, right_ = self.reach(at[stands[some]], doc[stands[some]])
             same = (left == left_) & (right == right_) & (self.contexts(at[some], left, right) == self.contexts(at[stands[some]], left_, right_)).all(axis=1)
@@ -257,7 +258,7 @@ def _rows(block: int, which: np.ndarray, buckets: np.ndarray, make) -> pa.Record
 
 def _find_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of anchors by bucket; in bucket -1 the places of all, and who stands for whom."""
+        """Rows of anchors by bucket; one row more for each block, numbered -1 - block, with the places of all and who stands for whom."""
         anchors = Anchors()
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -272,7 +273,7 @@ def _find_anchors(buckets: int):
                 chosen = np.flatnonzero(stands == own)
                 yield _rows(block, chosen, _bucket(seed[chosen], buckets), make)
                 places = _pack(np.diff(at, prepend=0).astype("<u4"), (own - stands).astype("<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([block], pa.int64()), pa.array([places], pa.binary())], names=["bucket", "block", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([block % buckets], pa.int64()), pa.array([-1 - block], pa.int64()), pa.array([places], pa.binary())], names=["bucket", "block", "blob"])
 
     return run
 
@@ -310,8 +311,14 @@ def _answers(parts: list[int], counts: list[int], hold: np.ndarray, *values: np.
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For anchors: 1 if a smaller document has the context, 2 if the context is wanted."""
+    """For anchors: 1 if a smaller document has the context, 2 if the context is wanted. Rows of places pass through."""
     for _, rows in _by_bucket(batches):
+        kept = [(block, blob) for block, blob in rows if block < 0]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], names=["block", "blob"])
+        rows = rows[len(kept) :]  # sorted by block
+        if not rows:
+            continue
         got = [_unpack(blob, ("bytes", 5), ("bytes", 5), ("<u4", 4), ("<i8", 8), ("|i1", 1)) for _, blob in rows]
         counts = [len(g[2]) for g in got]
         seed, around = _wide(np.concatenate([g[0] for g in got])), _wide(np.concatenate([g[1] for g in got]))
@@ -537,12 +544,12 @@ def _remove_repeats(docs: DataFrame) -> DataFrame:
     def answered(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("block").agg(F.collect_list("blob").alias(name))
 
-    found = stash(blocks.select("block", "payload").mapInArrow(_find_anchors(buckets), row), "anchors")
-    held = blocks.select("block", "payload").join(found.where("bucket = -1").select("block", F.col("blob").alias("places")), "block")
-    met = stash(dealt(found.where("bucket >= 0")).mapInArrow(_meet, "block long, blob binary"), "anchor-answers")
-    wanted = held.join(answered(met, "answers"), "block").select("block", "payload", "places", "answers")
+    met = stash(dealt(blocks.select("block", "payload").mapInArrow(_find_anchors(buckets), row)).mapInArrow(_meet, "block long, blob binary"), "anchor-answers")
+    places, said = met.where("block < 0").select((-1 - F.col("block")).alias("block"), F.col("blob").alias("places")), met.where("block >= 0")
+    held = blocks.select("block", "payload").join(places, "block")
+    wanted = held.join(answered(said, "answers"), "block").select("block", "payload", "places", "answers")
     masks = stash(dealt(wanted.mapInArrow(_send_contexts(buckets), row)).mapInArrow(_compare, "block long, blob binary"), "context-answers")
-    told = held.join(answered(met, "answers"), "block", "left").join(answered(masks, "masks"), "block", "left")
+    told = held.join(answered(said, "answers"), "block", "left").join(answered(masks, "masks"), "block", "left")
     out = stash(told.select("block", "payload", "places", "answers", "masks").mapInArrow(_remove, SCHEMA), "kept-bytes")
-    drop(blocks, found, met, masks)
+    drop(blocks, met, masks)
     return out
