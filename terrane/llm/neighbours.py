@@ -11,7 +11,8 @@ Inner products become distances by a further component that gives all vectors of
 THRESHOLD lies two standard deviations below the catches expected of a vector at the radius, for a recall of over 0.97
 a block, whatever the number of blocks; the tests measure it against brute force.
 
-A stated query set meets all rows, in blocks: one row leaves for each query and block, with at most K neighbours.
+A stated query set meets all rows, in blocks: one row leaves for each query and block, with at most K neighbours. Where there
+are fewer blocks than the cluster can work on, a block's queries are cut into slices, each with the block's vectors.
 
 Every (query, block) pair is needed: on vectors without clusters, such as the tables here, the nearest twenty of a query lie
 in three quarters of the cells of a partition by centroids before recall reaches 0.9, so ranges of projections rule out
@@ -22,9 +23,8 @@ ends when its windows cover a block at the latest. Scores are products of the or
 so equal vectors have equal scores wherever they lie. Equal vectors of a block are one entry with all their ids.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids;
-rows equal in id and vector are one row; rows with one id and different vectors are different candidates and
-different queries, and a query's own row is the one with its id and its vector; vectors are compared with those of their own
-dimension; equal products go by the smaller id; a product that overflows is infinite, and one that is no number comes last;
+rows equal in id and vector are different candidates and one query, whose own row is one of them; rows with one id and
+different vectors are different candidates and different queries; vectors are compared with those of their own dimension; equal products go by the smaller id; a product that overflows is infinite, and one that is no number comes last;
 an empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -61,10 +61,8 @@ class Index:
         self.vectors, entry = np.unique(vectors, axis=0, return_inverse=True)
         entry = entry.ravel()
         order = np.lexsort((ids, entry))
-        pairs = np.stack([entry[order], ids[order]])
-        fresh = np.r_[True, (np.diff(pairs) != 0).any(axis=0)] if len(ids) else np.zeros(0, bool)
-        self.ids = pairs[1][fresh]
-        self.first = np.searchsorted(pairs[0][fresh], np.arange(len(self.vectors) + 1))
+        self.ids = ids[order]
+        self.first = np.searchsorted(entry[order], np.arange(len(self.vectors) + 1))
         scaled = self.vectors / np.abs(self.vectors).max()
         n, d = scaled.shape
         squares = (scaled**2).sum(axis=1)
@@ -134,7 +132,8 @@ class Index:
             for e, s, same in zip(g.tolist(), score.tolist(), mine.tolist()):
                 a = self.ids[self.first[e] : self.first[e + 1]][: k + 1]  # smaller ids win, so k + 1 of them tell all
                 if same:
-                    a = a[a != own[i]] if own[i] in a else a[:k]
+                    own_at = np.flatnonzero(a == own[i])
+                    a = np.delete(a, own_at[0]) if len(own_at) else a[:k]
                 ids.append(a)
                 scores.append(np.full(len(a), s))
             ids, scores = np.concatenate(ids), np.concatenate(scores)
@@ -146,7 +145,7 @@ class Index:
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by dimension and block, vectors (kind 0) before queries (kind 1)."""
-        now, ids, vectors, index, asked = None, [], [], None, []
+        now, ids, vectors, index, asked, again = None, [], [], None, [], 0
 
         def answer() -> pa.RecordBatch:
             nonlocal asked
@@ -156,7 +155,7 @@ def _search(k: int):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["query_id", "key", "ids", "scores"])
 
         for batch in batches:
-            dims, blocks, kinds, names, keys = (batch.column(i).to_pylist() for i in range(5))
+            dims, blocks, kinds, names, keys = (batch.column(i).to_pylist() for i in range(5))  # a block here is one with a slice
             flat, offsets = batch.column(5).flatten().to_numpy(zero_copy_only=False), batch.column(5).offsets.to_numpy()
             offsets = offsets - offsets[0]
             for i, (d, b, kind, name, key) in enumerate(zip(dims, blocks, kinds, names, keys)):
@@ -166,8 +165,9 @@ def _search(k: int):
                         yield answer()
                     now, ids, vectors, index = (d, b), [], [], None
                 if kind == 0:
-                    if ids and ids[-1] == name and (vectors[-1] == v).all():
-                        continue  # a row repeated
+                    again = again + 1 if ids and ids[-1] == name and (vectors[-1] == v).all() else 0
+                    if again > k:
+                        continue  # k + 1 of a row repeated are all that a query can find
                     ids.append(name)
                     vectors.append(v)
                 elif ids:
@@ -196,10 +196,14 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
         .withColumn("key", F.xxhash64("v"))
     )
     blocks = max(1, -(-vectors.count() // block))
-    stored = rows.select("dim", F.pmod(F.xxhash64("id", "key"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "id", "key", "v")
-    asked = rows.where("q").dropDuplicates(["id", "v"]).select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "id", "key", "v")
-    parts = min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8)
-    dealt = stored.unionByName(asked).repartition(parts, "dim", "block").sortWithinPartitions("dim", "block", "kind", "id", "key")
+    # Tasks of one size: block and slice make the number of a task, with no hash that would put two into one and none into another.
+    slices = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))
+    stored = rows.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.lit(blocks)) * slices)
+    stored = stored.select("dim", F.explode(F.sequence("block", F.col("block") + slices - 1)).alias("block"), F.lit(0).alias("kind"), "id", "key", "v")
+    asked = rows.where("q").dropDuplicates(["id", "v"]).withColumn("slice", F.pmod(F.xxhash64("key", "id"), F.lit(slices)))
+    asked = asked.select("dim", F.explode(F.sequence("slice", F.lit(slices * (blocks - 1)) + F.col("slice"), F.lit(slices).cast("long"))).alias("block"), F.lit(1).alias("kind"), "id", "key", "v")
+    parts = min(blocks * slices, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8)
+    dealt = stored.unionByName(asked).repartitionById(parts, (F.col("block") % parts).cast("int")).sortWithinPartitions("dim", "block", "kind", "id", "key")
     found = dealt.mapInArrow(_search(k), "query_id long, key long, ids array<long>, scores array<double>")
     # No number sorts before all others once its sign is turned, so it is told apart first.
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct(F.isnan(x["scores"]).alias("none"), (-x["scores"]).alias("less"), x["ids"].alias("id"), x["scores"].alias("score")))))

@@ -359,6 +359,16 @@ def test_neighbours_at_the_edges(spark, block):
     assert {v for _, v, s in got[4040] if s == math.inf} == {v for v, s in best(4040, np.array([1e200] * 5)) if s == math.inf}
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """A repeated row is a candidate each time, and one of them is the query's own; at most 20 are found."""
+    rows = [(0, [1.0, 0.0])] * 3 + [(1, [0.5, 0.0])] * 2 + [(2, [0.4, 1.0])]
+    for block in (2, 100):
+        got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, block=block).collect()
+        assert sorted(tuple(q) for q in got) == [(0, 1, 0, 1.0), (0, 2, 0, 1.0), (0, 3, 1, 0.5), (0, 4, 1, 0.5), (0, 5, 2, 0.4)]
+    got = neighbours.search(spark.createDataFrame(rows + [(0, [1.0, 0.0])] * 40, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(q) for q in got) == [(0, i, 0, 1.0) for i in range(1, 21)]
+
+
 def test_quality(spark):
     r = random.Random(2)
     docs, labels = [], []
