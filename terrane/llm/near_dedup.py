@@ -9,9 +9,10 @@ come back at the end: copies are never paired.
 Classes that share a band are candidates. Pairs are not listed: in each band two classes, the centres, are held against the
 others; pairs whose lengths or sketches rule a link out (SLACK standard deviations below the limit) leave;
 the rest are confirmed on the full sets, streamed by centre in chunks. Linked classes are one component from then on.
-Where a band still holds more than one component after ROUNDS rounds, its classes are gathered in clusters, cut into chunks; a task
-holds two chunks and compares what is in different components, sketches first, then full sets. So no candidate goes untried,
-and no pair becomes a row. A pair at the limit shares no band with a probability of (1 - 0.85**4)**24, 2e-8; 3e-6 at 0.8.
+Where a band still holds more than one component after ROUNDS rounds, classes that such bands connect are a cluster if they fit
+in one chunk. Larger clusters, which may be chains of texts that share bands by chance, fall apart into their bands again; each
+is cut into chunks. A task holds a cluster or two chunks of a band and compares what is in different components, sketches
+first, then full sets. So no candidate goes untried, no pair becomes a row, and texts move in proportion to the bands. A pair at the limit shares no band with a probability of (1 - 0.85**4)**24, 2e-8; 3e-6 at 0.8.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a row with a null doc_id is linked
 with nothing, is its own component (null) and is kept; rows with one doc_id and one text are one document, and with
@@ -192,19 +193,38 @@ def _search(similar: int):
     return run
 
 
-def _searched(open_: DataFrame, near: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
-    """Links between different components that share a band. Classes that bands connect are a cluster, cut into chunks; a task
-    gets two chunks, so a class's text goes to as many tasks as its cluster has chunks, and no pair is ever a row."""
-    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _groups(open_: DataFrame, near: DataFrame) -> DataFrame:
+    """Who is compared with whom, one row for each class and place: cluster, lo, hi (a pair of chunks), chunk, id, component, sketch.
+
+    open_ has bands (band, value) with id and component. A text goes to one place if its cluster fits in a chunk, else to
+    as many as its bands have chunks; of bands with the same classes one is enough.
+    """
     least = open_.groupBy("band", "value").agg(F.min("id").alias("v"))
     found = components(open_.join(least, ["band", "value"]).where("id <> v").select(F.col("id").alias("u"), "v"))
-    members = open_.select("id", "component").distinct().join(found.withColumnRenamed("u", "id"), "id", "left").withColumn("cluster", F.coalesce("v", "id")).drop("v").join(near, "id")
-    chunks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / HELD)).alias("chunks"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("cluster", "chunks")
-    dealt = members.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    placed = stash(dealt.select("cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "component", "sketch"), "near-chunks")
+    known = open_.join(found.withColumnRenamed("u", "id"), "id", "left").withColumn("cluster", F.coalesce("v", "id")).drop("v").join(near.select("id", "n"), "id")
+    known = stash(known, "near-clusters")
+    size = [F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / HELD)).alias("chunks"), F.min("component").alias("p"), F.max("component").alias("q")]
+    members = known.select("cluster", "id", "component", "n").distinct()
+    sizes = stash(members.groupBy("cluster").agg(*size).where("p < q").select("cluster", "chunks"), "near-sizes")
+    whole = members.join(sizes.where("chunks = 1"), "cluster").select(F.lit(-1).alias("band"), F.col("cluster").alias("value"), "id", "component", "chunks")
+    wide = known.join(sizes.where("chunks > 1").select("cluster"), "cluster", "left_semi")
+    same = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("y")]
+    bands = wide.groupBy("band", "value").agg(*size, *same).where("p < q").groupBy("c", "x", "y").agg(F.min(F.struct("band", "value", "chunks")).alias("b")).select("b.*")
+    rows = whole.unionByName(wide.join(bands, ["band", "value"]).select("band", "value", "id", "component", "chunks"))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    placed = dealt.join(near.select("id", "sketch"), "id").select(F.concat_ws(":", "band", "value").alias("cluster"), F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "component", "sketch")
+    out = stash(placed, "near-chunks")
+    drop(known, sizes, found)
+    return out
+
+
+def _searched(open_: DataFrame, near: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
+    """Links between different components that share a band."""
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _groups(open_, near)
     rows = placed.join(texts, placed["id"] == texts["cid"]).select("cluster", "lo", "hi", "chunk", "id", "component", "s1", "sketch", "text")
     out = stash(rows.repartition(parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "id").mapInArrow(_search(similar), "u long, v long"), "near-links")
-    drop(placed, found)
+    drop(placed)
     return out
 
 

@@ -369,6 +369,29 @@ def test_neighbours_of_repeated_rows(spark):
     assert sorted(tuple(q) for q in got) == [(0, i, 0, 1.0) for i in range(1, 21)]
 
 
+def test_chains_of_bands_move_in_proportion(spark, monkeypatch):
+    """Classes that bands connect in one long chain: rows grow as the classes do, and all that share a band meet."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    moved = {}
+    for n in (500, 2000):
+        bands = [(b, (i + b) // 2, i) for i in range(n) for b in (0, 1)] + [(2, 0, i) for i in range(0, 40)] + [(3, 7, i) for i in range(0, 40)]
+        bands += [(b, -1, 9000 + i) for b in (0, 1, 2) for i in range(5)]  # a cluster that fits in a chunk
+        open_ = spark.createDataFrame(bands, "band int, value long, id long").withColumn("component", F.col("id"))
+        near = open_.select("id").distinct().select("id", F.lit(50).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("sketch"))
+        rows = near_dedup._groups(open_, near).collect()
+        places = collections.defaultdict(list)
+        for q in rows:
+            places[q["cluster"], q["lo"], q["hi"]].append((q["chunk"], q["id"]))
+        met = {(a, b) for (_, lo, hi), held in places.items() for c, a in held for d, b in held if a < b and (lo == hi or c != d)}
+        together = collections.defaultdict(list)
+        for b, v, i in bands:
+            together[b, v].append(i)
+        assert all((a, b) in met for held in together.values() for a in held for b in held if a < b)
+        assert sum(q["id"] >= 9000 for q in rows) == 5
+        moved[n] = len(rows)
+    assert moved[500] - 5 <= 2 * 500 + 40 * 3 and moved[2000] <= 4.1 * moved[500]
+
+
 def test_quality(spark):
     r = random.Random(2)
     docs, labels = [], []
