@@ -81,7 +81,7 @@ def test_line_dedup_of_maximal_runs(spark):
 def test_url_filters(spark):
     rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("com", "/en/7/x", "block"), ("com", "", "allow"), ("dup.org", "/", "allow"), ("dup.org", "/", "block"), (None, "/", "block")], "host string, path string, verdict string")
     urls = [None, "", "no scheme", "http://A.Example.COM/en/70?x#y", "http://com/en/", "http://xcom/en/", "http://b.com/en/7/xy", "https://example.com/fr", "ftp://dup.org/", "http://dup.org", "http://é.com/en/7", "x://y.example.com:80/en/7", "http://b.com/en/7/xy"]
-    got = url_filters.judge(clashing(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), rules, salts=3).collect()
+    got = url_filters.judge(clashing(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), rules, ranges=3).collect()
     said = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got}
     assert len(got) == len(urls)
     assert said[0] == said[1] == said[2] == ("", "", None, "allow")
@@ -91,6 +91,38 @@ def test_url_filters(spark):
     assert said[7][2:] == ("com", "allow") and said[8][2:] == ("dup.org/", "block") and said[9][2:] == (None, "allow")
     assert said[10][2:] == ("com/en/", "block") and said[11][0] == "y.example.com:80" and said[11][2] is None
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+    assert {r["verdict"] for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules.limit(0)).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 9])
+def test_url_filters_equal_every_rule_tried_on_every_url(spark, ranges):
+    """Nested hosts and paths, labels and paths that begin alike, empty labels; stacks are carried over the borders of ranges."""
+    r = random.Random(ranges)
+    some = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randrange(most)))
+    host = lambda: ".".join(some("ab\u00e9", 3) for _ in range(r.randrange(1, 5)))
+    rules = {(host(), some("/ab\u00e9", 5)): r.choice(["block", "allow"]) for _ in range(60)}
+    urls = [(i, f"x://{host()}{'/' + some('/ab\u00e9', 6) if r.random() < 0.9 else ''}") for i in range(500)]
+    want = []
+    for i, url in urls:
+        h, slash, rest = url[4:].partition("/")
+        fits = [(len(a + b), len(a), a + b, v) for (a, b), v in rules.items() if (h == a or h.endswith("." + a)) and (slash + rest).startswith(b)]
+        best = max(fits, default=(0, 0, None, "allow"))
+        want.append((i, h, slash + rest, best[2], best[3]))
+    table = spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, verdict string")
+    same(url_filters.judge(frame(spark, urls, "page_id long, url string"), table, ranges=ranges).collect(), want)
+
+
+def test_urls_of_one_hot_host_are_dealt_to_many_ranges(spark):
+    """One host, one path as far as rules can tell under many subdomains, and one rule over them all."""
+    told = F.concat(url_filters._below(F.lit("hot.com")), F.lit(url_filters.SEP), F.lit("/en/"))
+    keys = spark.range(4000).select(url_filters._probe(told, F.col("id")).alias("_key"), "id")
+    bounds = url_filters.bounds_of(keys, 16)
+    sizes = [r[0] for r in keys.groupBy(url_filters.range_of(F.col("_key"), bounds).alias("n")).agg(F.count("*").alias("rows")).select("rows").collect()]
+    assert len(sizes) == 16 and max(sizes) < 4000 / 16 * 4
+    rule = spark.createDataFrame([("com", "/en/")], "host string, path string").select(url_filters._start(F.concat(url_filters._below(F.col("host")), F.lit(url_filters.SEP), F.col("path"))).alias("_key"), F.struct("host").alias("_rule"))
+    assert url_filters.sweep(rule, keys, 16).count() == 0  # hot.com is not under com's own path
+    rule = rule.select(url_filters._start(url_filters._below(F.lit("com"))).alias("_key"), "_rule")
+    assert url_filters.sweep(rule, keys, 16).where("size(_open) = 1").count() == 4000
 
 
 def test_lm_scores(spark, corpus):
