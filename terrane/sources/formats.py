@@ -172,8 +172,9 @@ class _Writer(DataSourceArrowWriter):
         with opened.write_to(f"{self.path}/{name}") as out:
             for data in codec.encode(self.entity, noted()):
                 (b,) = walk(io.BytesIO(data))
-                blocks.append(Block(at + b.offset, b.size, self.entity, len(ids), min(ids), max(ids)))
-                ids.clear()
+                n = b.count or len(ids)  # an encoder may have read on, to what begins the next block
+                blocks.append(Block(at + b.offset, b.size, self.entity, n, min(ids[:n]), max(ids[:n])))
+                del ids[:n]
                 out.write(data)
                 at += len(data)
         if not blocks:

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from terrane.model import NODES, RELATIONS, WAYS, OsmDataset
+from terrane.functions.tags import no_tags
+from terrane.model import MEMBERS, NODES, RELATIONS, WAYS, OsmDataset
 from terrane.operators.analyze import differences
-from terrane.sources import files, pbf, varint, vex
+from terrane.sources import files, formats, pbf, varint, vex
 
 NODE = (5_000_000_000, 471000000, -1222000000, [("a", "b"), ("a", ""), ("név", "🎉")])
 NODE_LIST = [(9, -900000000, 1800000000, []), (3, 0, 0, []), NODE]
@@ -90,6 +92,18 @@ def test_vex_limits_and_padding():
     assert [e for _, e in through_vex("nodes", big)] == big
 
 
+def test_vex_large_entities():
+    """Relations of half a block, which do not fit where others have been put, and one that is larger than a block, even deflated."""
+    ids = np.random.default_rng(1).integers(0, 2**62, 200_000).tolist()
+    members = lambda n: [("RELATION", i, "subarea") for i in ids[:n]]
+    relations = [(1, members(20_000), []), *((2 + i, members(36_000), [("type", "t")]) for i in range(3)), (9, members(200_000), []), (10, members(5), [])]
+    assert [e for _, e in through_vex("relations", relations)] == relations
+    found = [(n, size) for _, n, _, size in vex.blocks(io.BytesIO(b"".join(vex.encode("relations", relations))))]
+    assert all(size <= vex.SIZE for n, size in found if n > 1) and max(size for _, size in found) > vex.SIZE
+    with pytest.raises(ValueError):
+        list(vex.blocks(io.BytesIO(b"VEXR" + struct.pack(">ii", 2, vex.SIZE + 1))))
+
+
 def test_pbf_raw_blob_granularity_and_features():
     body = pbf.message((1, pbf.message((1, ""))), (2, pbf.message((2, pbf.message((1, varint.pack_signed([7])), (8, varint.pack_signed([1000])), (9, varint.pack_signed([-1000])))))), (17, 1000), (19, 500), (20, 0))
     assert pbf.inflate(pbf.message((1, body))) == body
@@ -121,6 +135,21 @@ def test_files(spark, data, tmp_path, fmt):
     assert files.load_osm(spark, again).timestamp() == back.timestamp()
 
 
+def test_large_relations_in_parts(spark, tmp_path):
+    """Blocks that end before an entity that does not fit count and bound only their own."""
+    some = F.transform(F.sequence(F.lit(1), F.when(F.col("id") < 3000, 10).otherwise(36_000)), lambda i: F.struct(F.lit("WAY").alias("type"), (i + F.col("id") * 100_000).alias("id"), F.lit("subarea").alias("role")))
+    relations = spark.range(3008).select("id", some.cast(MEMBERS).alias("members"), no_tags().alias("tags"))
+    empty = OsmDataset.empty(spark)
+    for fmt in ("vex", "pbf"):
+        path = str(tmp_path / fmt)
+        files.save_parts(OsmDataset(empty.nodes, empty.ways, relations, empty.meta), path, fmt, 1)
+        back = files.load_osm(spark, path).relations
+        assert back.count() == 3008 and back.exceptAll(relations).count() == 0
+        (part,) = formats.read_parts(f"{path}/relations")
+        blocks = formats.read_directory(f"{path}/relations/{part['name']}")
+        assert sum(b.count for b in blocks) == 3008 and all(a.high < b.low for a, b in zip(blocks, blocks[1:]))
+
+
 def test_empty_and_text(spark, data):
     for fmt in ("pbf", "vex"):
         back = files.decode_bytes(spark, fmt, files.encode_bytes(OsmDataset.empty(spark), fmt))
