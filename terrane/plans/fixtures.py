@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import no_tags, tag
 from ..model import MEMBERS, TAGS, OsmDataset
+from ..sources import folders
 
 TABLES = ("orders", "lineitem", "part", "customer", "nation", "region", "events")
 
@@ -47,12 +48,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PIECE = 4 << 20  # bytes of the tables' files for each partition of a view
+KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey * 100000 + 99999"}  # as the views have ways and nodes
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> int:
+    """In how many partitions views are dealt: in proportion to the tables, so that a task's share does not grow with them."""
+    size = sum(folders.size(spark, f"{sf_dir}/{t}.parquet") for t in TABLES)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views."""
-    need = {"way_refs": ("way_refs",), "nodes": ("way_refs", "nodes"), "ways": ("ways",), "members": ("way_refs", "ways", "members")}[name]
-    frames = {t: table(spark, sf_dir, t) for t in TABLES}
+    """One of the views, dealt by way or, for nodes, by node."""
+    need = {"way_refs": ("way_refs",), "nodes": ("nodes",), "ways": ("ways",), "members": ("way_refs", "ways", "members")}[name]
     query = "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in need) + f" SELECT * FROM {name}"
-    return spark.sql(query, **{t: f for t, f in frames.items() if "{" + t + "}" in query})
+    n = pieces(spark, sf_dir)
+    frames = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in query}
+    frames = {t: f.repartition(n, F.expr(KEYS[t])) if t in KEYS else f for t, f in frames.items()}
+    if name == "nodes":  # the view takes its references as a table, so that they can be dealt
+        query = query.replace(" way_refs ", " {way_refs} ")
+        frames["way_refs"] = view(spark, sf_dir, "way_refs").select("node_id").repartition(n, "node_id")
+    return spark.sql(query, **frames)
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> OsmDataset:
