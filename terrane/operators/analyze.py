@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import has_tag, no_tags, tag_text
@@ -24,13 +24,21 @@ def intersection_nodes(ways: DataFrame) -> DataFrame:
 
 
 def id_bitmaps(ids: DataFrame, column: str) -> DataFrame:
-    """The set of ids as bitmaps, one for each bucket that has any."""
-    return ids.groupBy(F.bitmap_bucket_number(column).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("bits"))
+    """The set of ids as bitmaps of 64 ids, one for each bucket that has any, so that a sparse set takes no more rows than it has ids."""
+    return ids.groupBy(_bucket(column).alias("bucket")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _place(column))).alias("bits"))
+
+
+def _bucket(column: str) -> Column:
+    return F.shiftright(F.col(column).cast("long"), 6)
+
+
+def _place(column: str) -> Column:
+    return F.col(column).cast("long").bitwiseAND(F.lit(63)).cast("int")
 
 
 def cardinality(ids: DataFrame, column: str) -> DataFrame:
     """Exact number of distinct ids, from the bitmaps."""
-    return id_bitmaps(ids, column).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("long").alias("n"))
+    return id_bitmaps(ids, column).agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("long").alias("n"))
 
 
 class IdSet:
@@ -40,12 +48,9 @@ class IdSet:
         self.bitmaps = id_bitmaps(ids.where(F.col(column).isNotNull()), column)
 
     def mark(self, df: DataFrame, column: str, out: str) -> DataFrame:
-        # A bitmap's lowest bit is the lowest place of its byte.
-        place = F.bitmap_bit_position(column)
-        byte = F.conv(F.hex(F.substring(F.col("_is.bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        told = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-        sets = self.bitmaps.select(F.col("bucket").alias("_bucket"), F.struct("bits").alias("_is"))
-        return df.join(sets, F.bitmap_bucket_number(column) == F.col("_bucket"), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != out], told.alias(out))
+        told = F.coalesce(F.getbit("_bits", _place(column)) == 1, F.lit(False))
+        sets = self.bitmaps.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+        return df.join(sets, _bucket(column) == F.col("_bucket"), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != out], told.alias(out))
 
 
 class EveryId(IdSet):
