@@ -21,7 +21,7 @@ def in_tiles(index: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
 
 def parents(relations: DataFrame, start: DataFrame) -> DataFrame:
     """start (relation_id) and all relations that hold one of them, directly or not. Each round follows only what the last one found."""
-    links = relation_index(relations, "RELATION").select("member_id", F.col("relation_id").alias("parent"))
+    links = cut(relation_index(relations, "RELATION").select("member_id", F.col("relation_id").alias("parent")))  # each round reads them
     known = cut(start.select("relation_id").distinct())
     front = known
     while not front.isEmpty():
@@ -43,17 +43,16 @@ def nodes_of(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def relations_of(ds: OsmDataset, ways: DataFrame, nodes: DataFrame, compat: bool = False) -> DataFrame:
     """Relations with one of the ways or nodes as member, and their parents. compat: nodes are looked up by the ways' ids, and parents are not followed."""
-    m = members(ds.relations)
-    by_way = m.where("type = 'WAY'").join(ways.select(F.col("id").alias("member_id")), "member_id", "left_semi")
-    by_node = m.where("type = 'NODE'").join((ways if compat else nodes).select(F.col("id").alias("member_id")), "member_id", "left_semi")
-    direct = by_way.unionByName(by_node).select("relation_id").distinct()
+    asked = lambda df, kind: df.select(F.lit(kind).alias("type"), F.col("id").alias("member_id"))
+    held = asked(ways, "WAY").unionByName(asked(ways if compat else nodes, "NODE"))
+    direct = members(ds.relations).join(held, ["type", "member_id"], "left_semi").select("relation_id").distinct()
     found = direct if compat else parents(ds.relations, direct)
     return ds.relations.join(found.select(F.col("relation_id").alias("id")), "id", "left_semi")
 
 
 def extract(ds: OsmDataset, box: tuple[float, float, float, float], *, index: DataFrame | None = None, compat: bool = False) -> OsmDataset:
     """box: min lat, min lon, max lat, max lon. Ways are complete, relations whole, nodes only those of the ways."""
-    ways = extract_ways(ds, box, index)
+    ways = cut(extract_ways(ds, box, index))  # read by all that follows
     nodes = nodes_of(ways, ds.nodes)
     return OsmDataset(nodes, ways, relations_of(ds, ways, nodes, compat), ds.meta)
 
