@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 SET = "bucket bigint, n int, form string, data binary"
 _SET = pa.schema([("bucket", pa.int64()), ("n", pa.int32()), ("form", pa.string()), ("data", pa.binary())])
 BITMAP = 1 << 13  # bytes
@@ -105,8 +107,9 @@ def cardinality(held: DataFrame) -> DataFrame:
 def ranks(held: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Of each distinct id in a column: whether it is in the set, and its rank, the number of ids of the set that are not greater."""
     asked = ids.select(F.col(f"`{column}`").cast("long").alias("id")).where("id is not null").distinct().withColumn("bucket", _bucket(F.col("id")))
-    # Buckets that are asked for stand in the order too, empty or not.
-    places = held.select("bucket", "n").unionByName(asked.select("bucket", F.lit(0).alias("n"))).groupBy("bucket").agg(F.sum("n").alias("n"))
+    held = cut(held)
+    # Buckets that are asked for stand in the order too, empty or not. Each level reads them.
+    places = cut(held.select("bucket", "n").unionByName(asked.select("bucket", F.lit(0).alias("n"))).groupBy("bucket").agg(F.sum("n").alias("n")))
     # What stands before a bucket, in its group of 2 ** GROUP; before that group in its own group; and so on. No task sorts more than that many rows.
     offsets = places.select("bucket", F.lit(0).cast("long").alias("start"))
     level = places.select((F.col("bucket") + (1 << 47)).alias("p"), "n")
