@@ -54,12 +54,13 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
 def differences(a: OsmDataset, b: OsmDataset, tree_a: DataFrame | None = None, tree_b: DataFrame | None = None) -> DataFrame:
     """kind, side, id of rows of either dataset that the other lacks, repeated as often as they are more. Trees that are kept spare a pass."""
     leaves = differing(tree_a if tree_a is not None else cut(tree(a)), tree_b if tree_b is not None else cut(tree(b)))
-    out = None
-    for kind in KINDS:
+    out = a.spark.createDataFrame([], "kind string, side string, id bigint")
+    kinds = {r["kind"] for r in leaves.select("kind").distinct().collect()}  # others have nothing to look at
+    for kind in (k for k in KINDS if k in kinds):
         own = leaves.where(F.col("kind") == kind).select("node")
         x, y = (df.withColumn("tags", F.coalesce("tags", no_tags())).withColumn("node", F.shiftright("id", LEAF)).join(own, "node", "left_semi").drop("node") for df in (getattr(a, kind), getattr(b, kind)))
-        y = y.select(*x.columns)
+        x, y = cut(x), cut(y.select(*x.columns))  # the rows of differing leaves, each compared twice
         for side, d in (("left", x.exceptAll(y)), ("right", y.exceptAll(x))):
             rows = d.select(F.lit(kind).alias("kind"), F.lit(side).alias("side"), "id")
-            out = rows if out is None else out.unionByName(rows)
+            out = out.unionByName(rows)
     return out
