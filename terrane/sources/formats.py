@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..model import NODES, RELATIONS, WAYS
+from ..plans.lineage import cut
 from . import opened, pbf, vex
 from .rows import from_batch, to_batches
 
@@ -296,7 +297,7 @@ def look_up(spark: SparkSession, path: str, entity: str, ids: DataFrame) -> Data
                 last = last - 1
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["block"])
 
-    asked = ids.select("id").where("id is not null").distinct()
+    asked = cut(ids.select("id").where("id is not null").distinct())
     numbers = [r["block"] for r in asked.mapInArrow(meet, "block long").distinct().collect()]
     only: dict[str, list[int]] = {}
     for n in sorted(numbers):
