@@ -31,13 +31,19 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(*(F.sum(c).alias(c) for c in NAMES))
 
 
+def counted() -> Column:
+    """Whether any count is left."""
+    return F.expr(" OR ".join(f"{c} <> 0" for c in NAMES))
+
+
 def _any(counts: DataFrame) -> DataFrame:
-    return counts.where(" OR ".join(f"{c} <> 0" for c in NAMES))
+    return counts.where(counted())
 
 
-def counts(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """From scratch."""
-    return _any(_summed(_of_ways(ways, 1).unionByName(_of_nodes(nodes, 1))))
+def counts(ways: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """From scratch. parts: in so many partitions, each a range of ids, by the only shuffle."""
+    rows = _of_ways(ways, 1).unionByName(_of_nodes(nodes, 1))
+    return _any(_summed(rows if parts is None else rows.repartitionByRange(parts, "id")))
 
 
 def count_deltas(old_ways: DataFrame, new_ways: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:
@@ -47,9 +53,8 @@ def count_deltas(old_ways: DataFrame, new_ways: DataFrame, old_nodes: DataFrame,
 
 
 def advance(old: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Counts after changes. old rows of other ids are passed on without a shuffle where the deltas are few."""
-    touched = old.join(deltas.select("id"), "id", "left_semi")
-    return old.join(deltas.select("id"), "id", "left_anti").unionByName(_any(_summed(touched.unionByName(deltas))))
+    """What the ids that deltas name count after changes, also those with no count left. old: the rows of these ids."""
+    return _summed(old.unionByName(deltas))
 
 
 def referenced() -> Column:

@@ -32,6 +32,7 @@ SCHEMAS = {"nodes": NODES, "ways": WAYS, "relations": RELATIONS, "index": INDEX,
 INDEXES = {"index": "ways", "counts": "nodes"}  # and the kind whose ranges they have
 TYPE_OF = {"nodes": "NODE", "ways": "WAY", "relations": "RELATION"}
 RANGES = 64
+PIECE = 4 << 20  # bytes of files for each task that writes what comes of them
 
 
 @dataclass
@@ -75,15 +76,27 @@ def range_of(bounds: list[int], id_: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= id_)) if bounds else F.lit(0)
 
 
-def _bounds(df: DataFrame, ranges: int) -> list[int]:
-    cut = df.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000).alias("p")).first()["p"] if ranges > 1 else None
-    return sorted(set(cut or []))
+def _parts(spark: SparkSession, paths: list[str] = ()) -> int:
+    """In how many partitions rows are written: in proportion to the files that they come from, so that a task's share does not grow."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(folders.size(spark, p) for p in paths) // PIECE))
 
 
-def _write_base(df: DataFrame, bounds: list[int], to: str) -> None:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.withColumn("range", range_of(bounds, F.col("id")))
-    placed.repartitionByRange(max(parts, 1), "range", "id").sortWithinPartitions("range", "id").write.partitionBy("range").parquet(to)
+def _write_base(df: DataFrame, bounds: list[int], to: str) -> dict[str, str]:
+    """Ranges by bounds, and where each is. df: partitions are ranges of ids."""
+    df.withColumn("range", range_of(bounds, F.col("id"))).sortWithinPartitions("range", "id").write.partitionBy("range").parquet(to)
+    return {r: f"{to}/range={r}" for r in _ranges_in(df.sparkSession, to)}
+
+
+def _write_first(df: DataFrame, ranges: int, to: str, parts: int) -> tuple[list[int], dict[str, str]]:
+    """Ranges of about one size as the shuffle finds them, in one pass over df: bounds, and where each range is."""
+    each = -(-parts // ranges)
+    placed = df.repartitionByRange(ranges * each, "id").withColumn("range", F.floor(F.spark_partition_id() / each).cast("int"))
+    placed.sortWithinPartitions("range", "id").write.partitionBy("range").parquet(to)
+    found = sorted(_ranges_in(df.sparkSession, to), key=int)
+    if not found:
+        return [], {}
+    least = dict(df.sparkSession.read.schema("id bigint, range int").parquet(to).groupBy("range").agg(F.min("id")).collect())  # a row for each range
+    return [least[int(r)] for r in found[1:]], {str(k): f"{to}/range={r}" for k, r in enumerate(found)}
 
 
 def _ranges_in(spark: SparkSession, folder: str) -> list[str]:
@@ -101,8 +114,8 @@ def _with_tiles(first: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.join(at, "node_id", "left").select("id", "node_id", "xtile", "ytile")
 
 
-def create(ds: OsmDataset, path: str, ranges: int = RANGES, indexes: tuple[str, ...] = ("index",)) -> Version:
-    """A new store with the indexes named: "index", "counts", both or none. A path that holds data already is refused."""
+def create(ds: OsmDataset, path: str, ranges: int = RANGES, indexes: tuple[str, ...] = ("index",), parts: int | None = None) -> Version:
+    """A new store with the indexes named: "index", "counts", both or none. A path that holds data already is refused. parts: how many tasks write a kind."""
     if set(indexes) - set(INDEXES):
         raise ValueError(f"indexes are {', '.join(INDEXES)}")
     spark = ds.spark
@@ -112,14 +125,14 @@ def create(ds: OsmDataset, path: str, ranges: int = RANGES, indexes: tuple[str,
     for kind in (*TYPE_OF, *indexes):
         to = f"{path}/base/{name}/{kind}"
         if kind in INDEXES:
-            stored = [_read(spark, SCHEMAS[k], [f"{path}/base/{at}" for at in base[k].values()]) for k in ("ways", "nodes")]
-            df = (first_node_rows if kind == "index" else derived.counts)(*stored)
             bounds[kind] = bounds[INDEXES[kind]]
+            files = {k: [f"{path}/base/{at}" for at in base[k].values()] for k in ("ways", "nodes")}
+            stored, n = (_read(spark, SCHEMAS[k], files[k]) for k in files), _parts(spark, [at for f in files.values() for at in f])
+            placed = first_node_rows(*stored).repartitionByRange(n, "id") if kind == "index" else derived.counts(*stored, parts=n)
+            found = _write_base(placed, bounds[kind], to)
         else:
-            df = getattr(ds, kind)
-            bounds[kind] = _bounds(df, ranges)
-        _write_base(df, bounds[kind], to)
-        base[kind] = {r: f"{name}/{kind}/range={r}" for r in _ranges_in(spark, to)}
+            bounds[kind], found = _write_first(getattr(ds, kind), ranges, to, parts or _parts(spark))
+        base[kind] = {r: at.removeprefix(f"{path}/base/") for r, at in found.items()}
     meta = ds.meta.first()
     return _commit(spark, path, Version(1, (meta and meta[0]) or 0, (meta and meta[1]) or 0, bounds, base))
 
@@ -141,6 +154,8 @@ def _last(spark: SparkSession, path: str, v: Version, kind: str, ranges: set[str
     if ranges is not None:
         rows = rows.where(F.col("range").isin([int(r) for r in ranges]))
     columns = [c for c in rows.columns if c not in ("place", "seq", "ord", "id", "range")]
+    if len(of) < 2:
+        return rows.select("id", *columns), touched  # a segment has one change of an id
     last = rows.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("place", "seq", "ord")).alias("x")).select("id", "x.*")
     return last, touched
 
@@ -181,11 +196,12 @@ def load_index(spark: SparkSession, path: str, number: int | None = None) -> Dat
     return _indexed(spark, path, "index", number).where("xtile is not null").select("xtile", "ytile", F.col("id").alias("way_id"))
 
 
-def look_up(spark: SparkSession, path: str, kind: str, ids: DataFrame, v: Version | None = None) -> DataFrame:
-    """The rows of a kind whose id is in ids (a column id, of any number of rows). Only the ranges that ids fall in are read."""
+def look_up(spark: SparkSession, path: str, kind: str, ids: DataFrame, v: Version | None = None, ranges: set[str] | None = None) -> DataFrame:
+    """The rows of a kind whose id is in ids (a column id, of any number of rows). Only the ranges that ids fall in, which may be given, are read."""
     v = v or current(spark, path)
     asked = ids.select("id").where("id is not null").distinct()
-    ranges = {str(r[0]) for r in asked.select(range_of(v.bounds[kind], F.col("id"))).distinct().collect()}  # as many as there are ranges, at most
+    if ranges is None:
+        ranges = {str(r[0]) for r in asked.select(range_of(v.bounds[kind], F.col("id"))).distinct().collect()}  # as many as there are ranges, at most
     return table(spark, path, kind, v, ranges).join(asked, "id", "left_semi")
 
 
@@ -202,7 +218,7 @@ def append(spark: SparkSession, path: str, changes: DataFrame, timestamp: int |
         range_column = F.when(F.col("type") == type_, range_of(v.bounds[kind], F.col("id"))).otherwise(range_column)
     kinds = F.create_map(*(F.lit(x) for kind, type_ in TYPE_OF.items() for x in (type_, kind)))
     rows = last.withColumns({"kind": kinds[F.col("type")], "range": range_column, "place": F.lit(place).cast("long")}).where("kind is not null").drop("type")
-    rows.repartition("kind", "range").sortWithinPartitions("kind", "range", "id").write.partitionBy("kind").parquet(at)
+    rows.hint("rebalance", "kind", "range").sortWithinPartitions("kind", "range", "id").write.partitionBy("kind").parquet(at)
     segment = {"name": name, "place": place, "ranges": {}}
     _note_ranges(spark, at, segment)
     own = Version(place, v.timestamp if timestamp is None else timestamp, v.sequence if sequence is None else sequence, v.bounds, v.base, [*v.segments, segment], v.through)
@@ -211,7 +227,7 @@ def append(spark: SparkSession, path: str, changes: DataFrame, timestamp: int |
             if kind in v.kinds and (rows := (_index_changes if kind == "index" else _count_changes)(spark, path, v, own)) is not None:
                 zero = F.lit(0).cast("long")
                 rows = rows.withColumns({"place": F.lit(place).cast("long"), "seq": zero, "ord": zero, "range": range_of(v.bounds[kind], F.col("id"))})
-                rows.repartition("range").sortWithinPartitions("range", "id").write.parquet(f"{at}/kind={kind}")
+                rows.hint("rebalance", "range").sortWithinPartitions("range", "id").write.parquet(f"{at}/kind={kind}")
         _note_ranges(spark, at, segment)
     return _commit(spark, path, own)
 
@@ -249,14 +265,13 @@ def _count_changes(spark: SparkSession, path: str, before: Version, after: Versi
     """New counts of the nodes that the latest segment's ways and nodes, and what they replace, name."""
     ways, nodes = _own(spark, path, after, "ways"), _own(spark, path, after, "nodes")
     put = lambda df: df.where("op = 'upsert'")
-    deltas = derived.count_deltas(look_up(spark, path, "ways", ways, before), put(ways), look_up(spark, path, "nodes", nodes, before), put(nodes))
+    known = after.segments[-1]["ranges"]
+    old = lambda kind, own: look_up(spark, path, kind, own, before, set(known.get(kind, ())))
+    deltas = derived.count_deltas(old("ways", ways), put(ways), old("nodes", nodes), put(nodes))
     at = f"{path}/segments/{after.segments[-1]['name']}/deltas"
-    deltas.write.parquet(at)  # small, and read four times
+    deltas.write.parquet(at)  # small, and read three times
     deltas = spark.read.schema(derived.COUNTS).parquet(at)
-    old = look_up(spark, path, "counts", deltas, before)
-    now = derived.advance(old, deltas)
-    gone = old.join(now.select("id"), "id", "left_anti").select("id", F.lit("delete").alias("op"))
-    return now.withColumn("op", F.lit("upsert")).unionByName(gone, allowMissingColumns=True)
+    return derived.advance(look_up(spark, path, "counts", deltas, before), deltas).withColumn("op", F.when(derived.counted(), "upsert").otherwise("delete"))
 
 
 def compact(spark: SparkSession, path: str, share: float = 0.1) -> Version:
@@ -269,18 +284,19 @@ def compact(spark: SparkSession, path: str, share: float = 0.1) -> Version:
             continue
         count = lambda df: {str(r[0]): r[1] for r in df.groupBy(range_of(v.bounds[kind], F.col("id"))).count().collect()}  # noqa: E731, B023  one row a range
         changed = count(last)
-        rows = count(_read(spark, SCHEMAS[kind], [f"{path}/base/{at}" for r, at in v.base[kind].items() if r in touched]))
+        files = {r: f"{path}/base/{at}" for r, at in v.base[kind].items() if r in touched}
+        rows = count(_read(spark, SCHEMAS[kind], list(files.values())))
         over = {r for r in touched if changed.get(r, 0) >= share * rows.get(r, 0)}
         if not over:
             continue
         done[kind] = over
         to = f"{path}/base/{name}/{kind}"
-        _write_base(table(spark, path, kind, v, done[kind]), v.bounds[kind], to)
-        written = set(_ranges_in(spark, to))
+        parts = _parts(spark, [at for r, at in files.items() if r in over])
+        written = _write_base(table(spark, path, kind, v, done[kind]).repartitionByRange(parts, "id"), v.bounds[kind], to)
         for r in done[kind]:
             base[kind].pop(r, None)
             if r in written:
-                base[kind][r] = f"{name}/{kind}/range={r}"
+                base[kind][r] = written[r].removeprefix(f"{path}/base/")
     if not any(done.values()):
         return v
     through = {k: {**v.through.get(k, {}), **dict.fromkeys(done.get(k, ()), v.number)} for k in v.kinds}
