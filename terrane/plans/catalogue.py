@@ -9,7 +9,7 @@ from ..functions import coding, tags, text, tiles
 from ..model import MEMBERS, TAGS, OsmDataset, members, way_refs
 from ..operators import analyze, changes, curve, enrich, extract, index, places
 from ..sources import files, folders
-from .fixtures import BOX, BOX_SQL, TILE, ctes, dataset, table, view
+from .fixtures import BOX, BOX_SQL, TILE, ctes, dataset, pieces, table, view
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -420,7 +420,7 @@ def string_codes(spark: SparkSession, d: str) -> DataFrame:
 def _round_trip(spark: SparkSession, d: str, fmt: str) -> DataFrame:
     """All entities, through the format's writers, a folder of parts, and back."""
     path = folders.shared(spark, fmt).removeprefix("file://").removeprefix("file:")
-    files.save_parts(dataset(spark, d), path, fmt)
+    files.save_parts(dataset(spark, d), path, fmt, pieces(spark, d))
     back = files.load_osm(spark, path)
     n = back.nodes.select(F.lit("NODE").alias("kind"), "id", F.concat_ws(" ", "fixed_lat", "fixed_lon", text.tags_text(F.col("tags"))).alias("said"))
     w = back.ways.select(F.lit("WAY").alias("kind"), "id", F.concat_ws(" ", F.concat_ws(",", F.col("nodes").cast("array<string>")), text.tags_text(F.col("tags"))).alias("said"))

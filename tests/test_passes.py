@@ -57,3 +57,23 @@ def test_a_store_is_made_in_one_pass(spark, tmp_path):
     # Ids of fewer kinds than ranges leave no gap.
     few = segments.create(OsmDataset.of(nodes.where("id < -40"), *none), str(tmp_path / "few"), ranges=8, indexes=())
     assert len(few.bounds["nodes"]) + 1 == len(few.base["nodes"]) and segments.load(spark, str(tmp_path / "few")).nodes.count() == 4
+
+
+def test_short_lists_are_coded_without_arrays(monkeypatch):
+    """The same bytes as arrays give, without one for each way."""
+    import numpy as np
+
+    from terrane.sources import pbf, varint
+
+    calls, whole = [], varint.pack
+    monkeypatch.setattr(varint, "pack", lambda v: calls.append(1) or whole(v))
+    list(pbf.encode("ways", [(i, [5, 3, -(1 << 62), 1 << 62], [("k", "v")]) for i in range(1000)]))
+    assert len(calls) < 10
+    for n in (0, 1, 5, 63, 64, 65, 300):
+        some = [(k * 0x9E3779B97F4A7C15 & varint.U64) >> k % 64 for k in range(n)]
+        signed = np.array(some, np.uint64).view(np.int64)
+        assert varint.pack_list(some) == whole(np.array(some, np.uint64)) and varint.unpack_list(varint.pack_list(some)) == some
+        assert varint.pack_deltas(signed.tolist()) == varint.pack_signed(np.diff(signed, prepend=0)) and varint.unpack_sums(varint.pack_deltas(signed.tolist())) == signed.tolist()
+    for broken in (b"\x80", b"\x01\xff", b"\x80" * 10 + b"\x01"):
+        with pytest.raises(ValueError, match="varint"):
+            varint.unpack_list(broken)
