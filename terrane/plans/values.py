@@ -128,7 +128,7 @@ def dataset_differences(spark: SparkSession, d: str) -> DataFrame:
 def stored_extract(spark: SparkSession, d: str) -> DataFrame:
     """The relations of a box, from a store and the index that it keeps."""
     path = folders.shared(spark, "store")
-    segments.create(dataset(spark, d), path, ranges=16)
+    segments.create(dataset(spark, d), path, ranges=16, parts=fixtures.pieces(spark, d))
     got = extract.extract(segments.load(spark, path), BOX, index=segments.load_index(spark, path))
     return got.relations.select("id", F.size("members").cast("long").alias("n_members"))
 

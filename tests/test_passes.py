@@ -77,3 +77,10 @@ def test_short_lists_are_coded_without_arrays(monkeypatch):
     for broken in (b"\x80", b"\x01\xff", b"\x80" * 10 + b"\x01"):
         with pytest.raises(ValueError, match="varint"):
             varint.unpack_list(broken)
+
+
+@needs_tables
+def test_entities_read_a_table_once(spark):
+    ds = fixtures.dataset(spark, DIR)
+    for df in (ds.nodes, ds.ways, ds.relations):
+        assert sum("Relation [" in line and "l_orderkey" in line for line in plan(df).splitlines()) == 1
