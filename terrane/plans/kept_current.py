@@ -64,8 +64,9 @@ def replicated_nodes(spark: SparkSession, d: str) -> DataFrame:
 def keyed_changes(spark: SparkSession, d: str) -> DataFrame:
     """Changes that arrive out of order, as keyed state; what it holds at the end is applied."""
     came, checkpoint = folders.shared(spark, "changes"), folders.shared(spark, "state")
-    node_changes(spark, d).repartition(6, F.xxhash64("id", "ord")).write.parquet(came)
-    rows = spark.readStream.schema(changes.CHANGES).option("maxFilesPerTrigger", 2).parquet(came)
+    files = max(2, -(-folders.size(spark, f"{d}/events.parquet") // (3 * fixtures.PIECE)))  # of each of three batches
+    node_changes(spark, d).repartition(3 * files, F.xxhash64("id", "ord")).write.parquet(came)
+    rows = spark.readStream.schema(changes.CHANGES).option("maxFilesPerTrigger", files).parquet(came)
     start = latest.last_change_stream(rows).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start
     latest.with_rocksdb(spark, start).awaitTermination()
     return changes.upsert(dataset(spark, d).nodes.select("id", "fixed_lat"), latest.read_state(spark, checkpoint).where("type = 'NODE'"))

@@ -86,3 +86,37 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     batch = spark.createDataFrame(rows, replication.ROWS)
     assert replication.apply_batch(spark, path, batch) == [START + 60, START + 120]
     assert replication.apply_batch(spark, path, batch) == []
+
+
+def test_keyed_state_takes_late_and_repeated_changes(spark, tmp_path, capsys):
+    """Batches out of order: a late change changes nothing and is not told, a tombstone stays, one that is sent again is the first one; no row goes through Python."""
+    from terrane.operators.changes import CHANGES
+    from terrane.streaming import latest
+
+    up = lambda seq, ord_, id_, lat, tags=None: (seq, ord_, "upsert", "NODE", id_, lat, -7, None, None, tags)
+    gone = lambda seq, ord_, id_: (seq, ord_, "delete", "NODE", id_, None, None, None, None, None)
+    batches = [
+        [up(5, 1, 1, 10, [("a", "b"), ("a", "c")]), up(4, 8, 1, 9), gone(3, 1, 2), up(1, 1, 4, 40)],
+        [up(5, 0, 1, 11), up(2, 9, 2, 20), up(1, 1, 3, 30, []), up(1, 1, 4, 41), (9, 9, "upsert", "NODE", None, 1, 1, None, None, None), up(9, 9, -1, 1)],
+        [gone(6, 1, 3), (6, 2, "upsert", "WAY", 1, None, None, [3, 1, 3], None, [])],
+    ]
+    told = []
+
+    def tell(df, _):
+        told.append(sorted((r.type, r.id, r.seq, r.ord, r.op, r.fixed_lat, r.nodes) for r in latest.unpacked(spark, df).collect()))
+
+    for rows in batches:
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "came"))
+        stream = latest.last_change_stream(spark.readStream.schema(CHANGES).parquet(str(tmp_path / "came")))
+        start = stream.writeStream.foreachBatch(tell).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start
+        q = latest.with_rocksdb(spark, start)
+        q.awaitTermination()
+    stream.explain()
+    assert "Py" not in capsys.readouterr().out
+    assert told[0] == [("NODE", 1, 5, 1, "upsert", 10, None), ("NODE", 2, 3, 1, "delete", None, None), ("NODE", 4, 1, 1, "upsert", 40, None)]
+    assert told[1] == [("NODE", 3, 1, 1, "upsert", 30, None)]
+    assert told[2] == [("NODE", 3, 6, 1, "delete", None, None), ("WAY", 1, 6, 2, "upsert", None, [3, 1, 3])]
+    held = {(r.type, r.id): r for r in latest.read_state(spark, str(tmp_path / "state")).collect()}
+    assert sorted((*k, r.seq, r.op, r.fixed_lat) for k, r in held.items()) == [("NODE", 1, 5, "upsert", 10), ("NODE", 2, 3, "delete", None), ("NODE", 3, 6, "delete", None), ("NODE", 4, 1, "upsert", 40), ("WAY", 1, 6, "upsert", None)]
+    assert [tuple(t) for t in held["NODE", 1].tags] == [("a", "b"), ("a", "c")] and held["NODE", 2].tags is None and held["WAY", 1].tags == []
+    assert latest.read_state(spark, str(tmp_path / "state")).columns == spark.createDataFrame([], CHANGES).columns

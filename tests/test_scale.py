@@ -44,3 +44,17 @@ def test_sequence_paths_over_nine_digits(spark):
     got = spark.createDataFrame([(n,) for n in some], "n bigint").select(text.sequence_path(F.col("n"))).collect()
     assert [r[0] for r in got] == [path_of(n) for n in some] and got[4][0] == "1000/000/696"
     assert "sequence_path" in catalogue.QUERIES
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
+def test_changes_come_in_three_batches_of_files_that_follow_the_tables(spark, monkeypatch):
+    from terrane.plans import kept_current
+    from terrane.sources import folders
+
+    at, shared = {}, folders.shared
+    monkeypatch.setattr(folders, "shared", lambda s, name: at.setdefault(name, shared(s, name)))
+    monkeypatch.setattr(fixtures, "PIECE", 1 << 11)
+    kept_current.keyed_changes(spark, DIR)
+    files = [n for n in folders.names(spark, at["changes"]) if n.endswith(".parquet")]
+    assert 10 <= len(files) <= 3 * (folders.size(spark, f"{DIR}/events.parquet") // (3 << 11) + 1)
+    assert [n for n in folders.names(spark, at["state"] + "/commits") if n.isdigit()] == ["0", "1", "2"]
